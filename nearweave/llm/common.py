@@ -33,7 +33,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a written table in the shared folder; it outlives the loss of any executor."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
