@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled by one numpy pass; a longer single document forms a pass of its own.
@@ -46,6 +46,14 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: Stands for a null doc_id, before all others.
+LOWEST = -(2**63)
+
+
+def lowest_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length + 1, from 0) of a string or binary array; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

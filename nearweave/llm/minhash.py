@@ -236,3 +236,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, share: tuple[int, int] = (85, 1
     out = sketched.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(components, "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), bands: int = 30, rows: int = 4) -> DataFrame:
+    """The documents, with all their columns, without those that belong to a group with a smaller doc_id."""
+    found = near_duplicates(docs, k, share, bands, rows)
+    dropped = materialise(found.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct())
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import PASS_BYTES, doc_texts, lower_ascii, passes, raw, word_hashes, words
 
@@ -196,3 +197,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """doc_id, held_out, score, predicted for every document."""
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents, with all their columns, that score at least ``threshold``; one pass, no shuffle of texts."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    rows = docs.select(F.col("text").cast("string").alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def run(batches):
+        for batch in batches:
+            body, offsets = raw(batch.column(0))
+            for a, b in passes(offsets, PASS_BYTES):
+                numbers, first = passage_numbers(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                good = pa.array(held.value.score(numbers, first) >= threshold)
+                yield pa.record_batch([batch.column(1).slice(a, b - a).filter(good)], names=["row"])
+
+    kept = rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType)]))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
