@@ -1,0 +1 @@
+"""Streams: none. Graphs are built in batches; every builder takes any DataFrame, so a stream's foreachBatch can call it."""
