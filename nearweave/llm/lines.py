@@ -3,135 +3,162 @@
 A line is the set of its words. A line goes if an earlier line (smaller doc_id, or same document and smaller line
 number) has a Jaccard similarity of at least 4/5 with it, whether or not that one stays. Steps:
 
-1. Word counts over the corpus, in 65,536 hash buckets (a fixed size, exact for the bucket), give every word a place in
-   one order from rare to common; the order only steers the work, any order gives the same result.
+1. Word counts over the corpus, in a fixed number of hash buckets (exact for the bucket), give every word a place in one
+   order from rare to common; the order only steers the work, any order gives the same result.
 2. Lines with equal sets form a class, for which its first line stands.
-3. Prefix filter: two sets with that similarity share a word among their rarest n - ceil(4n/5) + 1 words. One row for
-   each of these words is dealt by word. Words that may occur in more than FREQUENT lines are dealt into salted parts.
-4. Star round: each line meets the earliest document's lines of its word's part only, so pairs grow with the lines.
-   Lines that are verified as later matches there need no other witness.
-5. The rest meet all earlier lines of their words. Both rounds apply the length filter and the positional filter in the
-   join, and verify the exact similarity on the full sets, which are built anew for lines in pairs only.
+3. Prefix filter: two sets with that similarity share SHARED words among their rarest n - ceil(4n/5) + SHARED words (less
+   for the shortest lines). One row for each of these words is dealt by word; words that may occur in more than FREQUENT
+   rows are dealt into salted parts. The length filter and the positional filter stand in the join.
+4. In groups of up to GROUP lines of a word all earlier lines are met. In larger ones a line first meets those of the
+   earliest document only, so pairs grow with the lines; lines verified as later matches need no other witness.
+5. The rest meet all earlier lines of their larger groups. Pairs with enough shared words are verified on the full sets.
 
 Defined results: lines are what line feeds separate; words are runs of anything but blanks and the controls from tab to
 carriage return; lines without words take no part and stay; a null text has no lines and stays null; an empty text has
-one line without words; rows with one doc_id hold equal places, which are not earlier than each other; a null doc_id
+one line without words; rows with one doc_id hold equal places, which are not earlier than each other (where their texts
+differ, a place may be judged by either text); a null doc_id
 comes before all others; an empty table gives an empty table; other columns are ignored, or carried by ``rewrite``.
 """
 
 from __future__ import annotations
 
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWEST, lowest_id, materialise, partitions
 
-SEPARATOR = r"[ \t\x0B\f\r\n]+"
-BUCKETS = 65_536
+SEPARATOR = r"[ \t\x0B\f\r]+"
+BITS = 14
+BUCKETS = 1 << BITS
+#: Shared rare words that a pair must have; prefixes are longer by as many.
+SHARED = 3
+#: Lines of a word that meet pair by pair at once; larger groups go through the star round first.
+GROUP = 64
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
-#: Bits of the fixed-size filter on document ids: 64 in each of so many longs.
-FILTER_WORDS = 65_536
+#: Bits of the fixed-size filters on ids: 64 in each of so many longs.
+FILTER_WORDS = 1 << 17
 
 
-def _pack(word: Column, ranks: Column) -> Column:
-    """A word's hash with its bucket replaced by the bucket's rank on top: sorts from rare to common, loses nothing."""
-    h = F.xxhash64(word)
-    rank = F.element_at(ranks, h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int") + 1)
-    return F.shiftleft((rank - BUCKETS // 2).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+def _words(line: Column) -> Column:
+    """Words of a line, the empty string among them where it begins or ends with a separator."""
+    other = line.contains("\t") | line.contains("\x0b") | line.contains("\f") | line.contains("\r")
+    return F.when(other, F.split(line, SEPARATOR)).otherwise(F.split(line, " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, ln, words of every line."""
-    lines = docs.select(lowest_id().alias("d"), F.posexplode(F.split(F.col("text"), "\n")).alias("ln", "line"))
-    return lines.select("d", "ln", F.split("line", SEPARATOR).alias("words"))
+    """d, ln, line."""
+    return docs.select(lowest_id().alias("d"), F.posexplode(F.split(F.col("text"), "\n")).alias("ln", "line"))
 
 
 def _bucket_counts(docs: DataFrame) -> DataFrame:
-    """bucket and c: words of all lines by hash bucket, every bucket."""
-    words = _lines(docs).select(F.explode("words").alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket")).agg(F.count("*").alias("c"))
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select("bucket", F.coalesce("c", F.lit(0)).alias("c"))
-    return every
+    """bucket and c: words of all lines by the first bits of their hashes."""
+    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
+    return words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("bucket")).agg(F.count("*").alias("c"))
 
 
 def _order(docs: DataFrame) -> tuple[Column, Column]:
-    """A constant array with the rank of each bucket (from the rarest, 0), and the salted parts of a packed word.
+    """A constant array that turns a hash's bucket into the bucket's rank (from the rarest), and a word's salted parts.
 
-    The bucket counts come to the driver: BUCKETS rows, whatever the input's size.
+    The bucket counts come to the driver: BUCKETS rows at most, whatever the input's size.
     """
-    rows = sorted((r.c, r.bucket) for r in _bucket_counts(docs).collect())
-    rank = [0] * BUCKETS
-    for i, (_, bucket) in enumerate(rows):
-        rank[bucket] = i
-    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
-    large = [(i, -(-c // FREQUENT)) for i, (c, _) in enumerate(rows) if c > FREQUENT]
+    counts = {r.bucket: r.c for r in _bucket_counts(docs).collect()}
+    rows = sorted((counts.get(b, 0), b) for b in range(BUCKETS))
+    turn, half = [0] * BUCKETS, BUCKETS >> 1
+    for rank, (_, bucket) in enumerate(rows):
+        x = (bucket ^ rank ^ half) << (64 - BITS)
+        turn[bucket] = x - (1 << 64) if x >> 63 else x
+    ranks = F.split(F.lit(",".join(map(str, turn))), ",").cast("array<bigint>")
+    large = [(rank, -(-c // FREQUENT)) for rank, (c, _) in enumerate(rows) if c > FREQUENT]
     parts = F.lit(1)
     if large:
         held = F.map_from_arrays(*(F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>") for x in zip(*large)))
-        parts = F.coalesce(F.try_element_at(held, (F.shiftright("w", 48) + BUCKETS // 2).cast("int")), F.lit(1))
+        parts = F.coalesce(F.try_element_at(held, (F.shiftright("w", 64 - BITS) + half).cast("int")), F.lit(1))
     return ranks, parts
 
 
 def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """d, ln, a (sorted packed words) of lines with words."""
-    return lines.select("d", "ln", F.sort_array(F.array_distinct(F.transform(F.filter("words", lambda w: w != ""), lambda w: _pack(w, ranks)))).alias("a")).filter(F.size("a") > 0)
-
+    """d, ln, a of lines with words: a is the line's set of word hashes, from rare to common.
 
-def _classed(sets: DataFrame) -> DataFrame:
-    return sets.withColumns({"c1": F.xxhash64("a"), "c2": F.xxhash64("a", F.lit(1))})
+    The bucket bits on top of a hash give way to the bucket's rank, which loses nothing and sorts by rarity.
+    """
+    hashes = F.array_except(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    placed = F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")))))
+    return lines.select("d", "ln", placed.alias("a")).filter(F.size("a") > 0)
 
 
-def _id_filter(ids: DataFrame) -> Column:
-    """A column of longs with 64 bits each (a fixed size): whether an id's bit is set. Other ids may pass too."""
-    bit = F.pmod(F.xxhash64("d"), F.lit(FILTER_WORDS * 64))
+def _id_filter(ids: DataFrame, *columns: str) -> Column:
+    """64 bits in each of a fixed number of longs: bits of the ids' hashes. Ids that aren't there may pass, too."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
     words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
     every = ids.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "w").join(words, "w", "left")
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("f")).scalar()
 
 
-def _may_hold(bits: Column) -> Column:
-    bit = F.pmod(F.xxhash64("d"), F.lit(FILTER_WORDS * 64))
+def _may_hold(bits: Column, *columns: str) -> Column:
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
     return F.bit_get(F.element_at(bits, F.shiftright(bit, 6).cast("int") + 1), bit.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
-    """d, ln of lines that have a pair (d, ln) with an earlier (e, em) of at least that similarity."""
+    """d, ln of lines that have a pair (d, ln) with an earlier (e, em) of at least that similarity.
+
+    Sets are built anew for lines in pairs only: a filter of fixed size on the lines' ids comes before the shuffle.
+    """
     named = pairs.select("d", "ln").union(pairs.select(F.col("e").alias("d"), F.col("em").alias("ln")))
-    wanted = named.groupBy("d").agg(F.collect_set("ln").alias("lns"))
-    found = docs.select(lowest_id().alias("d"), F.col("text")).filter(_may_hold(_id_filter(named)))
-    found = found.join(wanted, "d").select("d", F.explode("lns").alias("ln"), "text")
-    found = found.select("d", "ln", F.element_at(F.split("text", "\n"), F.col("ln") + 1).alias("line")).select("d", "ln", F.split("line", SEPARATOR).alias("words"))
-    sets = _sets(found, ranks).groupBy("d", "ln").agg(F.first("a").alias("a"))
+    lines = _lines(docs).filter(_may_hold(_id_filter(named, "d", "ln"), "d", "ln"))
+    sets = materialise(_sets(lines, ranks))
     both = pairs.join(sets.withColumnRenamed("a", "ax"), ["d", "ln"]).join(sets.select(F.col("d").alias("e"), F.col("ln").alias("em"), F.col("a").alias("ay")), ["e", "em"])
     common = F.size(F.array_intersect("ax", "ay"))
     return both.filter(9 * common >= 4 * (F.size("ax") + F.size("ay"))).select("d", "ln").distinct()
 
 
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs that share as many rare words as they must."""
+    return pairs.groupBy("d", "ln", "e", "em").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("d", "ln", "e", "em")
+
+
+def _met(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """d, ln, e, em, need: rows of one word and part with earlier ones, after the length and positional filters.
+
+    The last of the first SHARED common words may stand SHARED - 1 places nearer to the end than the first.
+    """
+    other = other.select("w", "part", F.col("d").alias("e"), F.col("ln").alias("em"), F.col("n").alias("m"), F.col("p").alias("q"))
+    earlier = (F.col("e") < F.col("d")) | (F.col("e") == F.col("d")) & (F.col("em") < F.col("ln"))
+    length = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+    position = 9 * (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + SHARED - 1) >= 4 * (F.col("n") + F.col("m"))
+    need = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") * 4 / 5)).cast("int")
+    return rows.join(other, ["w", "part"]).filter(earlier & length & position).select("d", "ln", "e", "em", need.alias("need"))
+
+
 def later_matches(docs: DataFrame) -> DataFrame:
     """d, ln of every line that goes."""
     ranks, parts = _order(docs)
     n = F.size("a")
-    prefix = F.slice("a", 1, n - F.ceil(n * 4 / 5).cast("int") + 1)
-    every = materialise(_classed(_sets(_lines(docs), ranks)).select("d", "ln", "c1", "c2", n.alias("n"), prefix.alias("prefix")))
+    least = F.ceil(n * 4 / 5).cast("int")
+    prefix = F.slice("a", 1, n - least + F.least(least, F.lit(SHARED)))
+    every = materialise(_sets(_lines(docs), ranks).select("d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64("a", F.lit(1)).alias("c2"), n.alias("n"), prefix.alias("prefix")))
     classes = every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln", "n", "prefix")).alias("s"))
     rows = classes.select("s.d", "s.ln", "s.n", F.posexplode("s.prefix").alias("p", "w"))
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("d", "ln"), "parts").cast("int"))
-    with _bucketed(rows, "w", "part") as rows:
-        other = rows.select("w", "part", F.col("d").alias("e"), F.col("ln").alias("em"), F.col("n").alias("m"), F.col("p").alias("q"))
-        earlier = (F.col("e") < F.col("d")) | (F.col("e") == F.col("d")) & (F.col("em") < F.col("ln"))
-        near = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (9 * F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= 4 * (F.col("n") + F.col("m")))
-        leaders = rows.groupBy("w", "part").agg(F.min("d").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("w", "part", "lead")
-        led = other.join(leaders, ["w", "part"]).filter("e = lead").drop("lead")
-        star = rows.join(led, ["w", "part"]).filter(earlier & near).select("d", "ln", "e", "em").distinct()
-        done = materialise(_verified(docs, materialise(star), ranks))
-        rest = rows.join(done, ["d", "ln"], "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        full = rest.join(other, ["w", "part"]).filter(earlier & near).select("d", "ln", "e", "em").distinct()
-        more = _verified(docs, materialise(full), ranks)
-        gone = materialise(done.union(more))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("d", "ln"), parts).cast("int")).repartition(partitions(docs), "w", "part")
+    groups = rows.groupBy("w", "part").agg(F.count("*").alias("g"), F.min("d").alias("lead")).filter((F.col("g") > 1) | (parts > 1))
+    sized = rows.join(groups, ["w", "part"])
+    kind = lambda df, k: df.select(F.lit(k).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in _FOUND])
+    few = (F.col("g") <= GROUP) & (parts == 1)
+    small = kind(_met(sized.filter(few), sized.filter(few)), 0)
+    star = kind(_met(sized.filter(~few), sized.filter(~few & (F.col("d") == F.col("lead")))), 1)
+    large = kind(sized.filter(~few), 2)
+    found = materialise(small.union(star).union(large))
+    pairs = found.filter("kind < 2").select("d", "ln", "e", "em", "need")
+    first = materialise(_enough(pairs))
+    done = materialise(_verified(docs, first, ranks))
+    # Lines without a witness so far meet all earlier lines of their large groups, too, in every salted part.
+    rest = found.filter("kind = 2").select("w", "part", "d", "ln", "n", "p").join(done, ["d", "ln"], "left_anti")
+    spread = rest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    wide = _met(spread, found.filter("kind = 2"))
+    known = found.filter("kind = 0").select("d", "ln", "e", "em", "need").join(rest.select("d", "ln").distinct(), ["d", "ln"], "left_semi")
+    second = materialise(_enough(known.union(wide)).join(first, ["d", "ln", "e", "em"], "left_anti"))
+    gone = materialise(done.union(_verified(docs, second, ranks)))
     firsts = every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln")).alias("f"))
     verdict = firsts.select("c1", "c2", F.col("f.d").alias("d"), F.col("f.ln").alias("ln")).join(gone.withColumn("gone", F.lit(True)), ["d", "ln"], "left")
     verdict = verdict.select("c1", "c2", F.col("d").alias("fd"), F.col("ln").alias("fl"), "gone")
@@ -139,16 +166,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     return every.select("d", "ln", "c1", "c2").join(verdict, ["c1", "c2"]).filter(later | F.coalesce("gone", F.lit(False))).select("d", "ln").distinct()
 
 
-@contextmanager
-def _bucketed(rows: DataFrame, *keys: str):
-    """The rows as a table in the shared warehouse, dealt once by the keys: joins on these keep that dealing."""
-    spark, name = rows.sparkSession, f"nearweave_{uuid.uuid4().hex}"
-    n = partitions(rows)
-    rows.repartition(n, *keys).write.option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+_FOUND = [("d", "long"), ("ln", "int"), ("e", "long"), ("em", "int"), ("need", "int"), ("w", "long"), ("part", "int"), ("n", "int"), ("p", "int")]
 
 
 def _with_removed(docs: DataFrame) -> DataFrame:
@@ -158,9 +176,9 @@ def _with_removed(docs: DataFrame) -> DataFrame:
     """
     gone = materialise(later_matches(docs).groupBy("d").agg(F.collect_set("ln").alias("lns")))
     rows = docs.select(lowest_id().alias("d"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    bits = _id_filter(gone)
-    touched = rows.filter(_may_hold(bits)).join(gone, "d", "left")
-    return touched.unionByName(rows.filter(~_may_hold(bits)).withColumn("lns", F.lit(None).cast("array<int>")))
+    bits = _id_filter(gone, "d")
+    touched = rows.filter(_may_hold(bits, "d")).join(gone, "d", "left")
+    return touched.unionByName(rows.filter(~_may_hold(bits, "d")).withColumn("lns", F.lit(None).cast("array<int>")))
 
 
 def _kept_lines() -> Column:
