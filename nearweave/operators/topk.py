@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY_DISTANCE = Window.partitionBy("u").orderBy("d", "v")
-
-
 def top_k(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest of each u; ties by the smaller id. Spark cuts the lists before the shuffle, too."""
-    return edges.withColumn("_r", F.row_number().over(_BY_DISTANCE)).filter(F.col("_r") <= k).drop("_r")
+    return edges.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).filter(F.col("_r") <= k).drop("_r")
 
 
 def merge_top_k(old: DataFrame | None, offers: DataFrame, k: int) -> DataFrame:
