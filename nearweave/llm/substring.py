@@ -37,6 +37,8 @@ from .merging import ragged
 WINDOW, GRAM = 20, 5
 #: Occurrences from which an anchor's windows are dealt one by one.
 FREQUENT = 20_000
+#: Bytes of a word's hash that travel with segments: sequences are only compared where an anchor of 64 bits agrees.
+WORD = 6
 
 
 class _Pass:
@@ -145,15 +147,21 @@ def _segments(keyed: DataFrame, window: int) -> DataFrame:
                 order = np.lexsort((start, h, ids[a:b][doc], c2, c1))
                 first = order[np.append(True, (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1]))]
                 route = np.where(hot[begin], c1, p.key[begin])
-                data = flat.tobytes()
+                data = flat.view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
                 yield pa.record_batch(
-                    [*(pa.array(x[first]) for x in (route, c1, c2, ids[a:b][doc], h, start)), pa.array([data[8 * total[i] : 8 * total[i + 1]] for i in first.tolist()], pa.binary())],
+                    [*(pa.array(x[first]) for x in (route, c1, c2, ids[a:b][doc], h, start)), pa.array([data[WORD * total[i] : WORD * total[i + 1]] for i in first.tolist()], pa.binary())],
                     names=["route", "c1", "c2", "d", "h", "start", "words"],
                 )
 
     return keyed.mapInArrow(run, _SEGMENT)
 
 
+def _sequence(body: bytes) -> list[int]:
+    out = np.zeros((len(body) // WORD, 8), np.uint8)
+    out[:, :WORD] = np.frombuffer(body, np.uint8).reshape(-1, WORD)
+    return out.reshape(-1).view(np.int64).tolist()
+
+
 class Automaton:
     """Suffix automaton of the sequences put in so far."""
 
@@ -209,10 +217,10 @@ def _fresh(segments: DataFrame, window: int) -> DataFrame:
     def shard(held: list[tuple]) -> list[tuple]:
         if len(held) == 1:  # windows of one segment differ
             d, h, start, body = held[0]
-            return [(d, h, start, len(body) // 8 - window + 1)]
+            return [(d, h, start, len(body) // WORD - window + 1)]
         automaton, rows = Automaton(), []
         for d, h, start, body in held:
-            seen = np.array(automaton.put(np.frombuffer(body, np.int64).tolist())[window - 1 :]) >= window
+            seen = np.array(automaton.put(_sequence(body))[window - 1 :]) >= window
             edge = np.flatnonzero(np.diff(np.concatenate([[1], seen, [1]])))
             rows += [(d, h, start + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2])]
         return rows
