@@ -9,9 +9,10 @@ number) has a Jaccard similarity of at least 4/5 with it, whether or not that on
 3. Prefix filter: two sets with that similarity share SHARED words among their rarest n - ceil(4n/5) + SHARED words (less
    for the shortest lines). One row for each of these words is dealt by word; words that may occur in more than FREQUENT
    rows are dealt into salted parts. The length filter and the positional filter stand in the join.
-4. In groups of up to GROUP lines of a word all earlier lines are met. In larger ones a line first meets those of the
-   earliest document only, so pairs grow with the lines; lines verified as later matches need no other witness.
-5. The rest meet all earlier lines of their larger groups. Pairs with enough shared words are verified on the full sets.
+4. A line meets the GROUP lines before it in each of its words' groups, and the group's first line: pairs grow with the
+   lines. Smaller groups are done with that. Lines verified as later matches need no other witness.
+5. The rest meet all earlier lines of their larger groups. Pairs with enough shared words are verified on the full sets,
+   which are built anew for lines in pairs only.
 
 Defined results: lines are what line feeds separate; words are runs of anything but blanks and the controls from tab to
 carriage return; lines without words take no part and stay; a null text has no lines and stays null; an empty text has
@@ -22,7 +23,7 @@ comes before all others; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWEST, lowest_id, materialise, partitions
@@ -30,9 +31,9 @@ from .common import LOWEST, lowest_id, materialise, partitions
 SEPARATOR = r"[ \t\x0B\f\r]+"
 BITS = 14
 BUCKETS = 1 << BITS
-#: Shared rare words that a pair must have; prefixes are longer by as many.
-SHARED = 3
-#: Lines of a word that meet pair by pair at once; larger groups go through the star round first.
+#: Shared rare words that a pair must have; prefixes are longer by one less.
+SHARED = 2
+#: Rows just before a line's, in the order of places, that it meets in each of its words' groups at once.
 GROUP = 64
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
@@ -57,8 +58,9 @@ def _bucket_counts(docs: DataFrame) -> DataFrame:
     return words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("bucket")).agg(F.count("*").alias("c"))
 
 
-def _order(docs: DataFrame) -> tuple[Column, Column]:
-    """A constant array that turns a hash's bucket into the bucket's rank (from the rarest), and a word's salted parts.
+def _order(docs: DataFrame) -> tuple[Column, Column, bool]:
+    """A constant array that turns a hash's bucket into the bucket's rank (from the rarest), the salted parts of a word
+    and whether any word has more than one.
 
     The bucket counts come to the driver: BUCKETS rows at most, whatever the input's size.
     """
@@ -74,7 +76,7 @@ def _order(docs: DataFrame) -> tuple[Column, Column]:
     if large:
         held = F.map_from_arrays(*(F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>") for x in zip(*large)))
         parts = F.coalesce(F.try_element_at(held, (F.shiftright("w", 64 - BITS) + half).cast("int")), F.lit(1))
-    return ranks, parts
+    return ranks, parts, bool(large)
 
 
 def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
@@ -118,57 +120,72 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("d", "ln", "e", "em").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("d", "ln", "e", "em")
 
 
-def _met(rows: DataFrame, other: DataFrame) -> DataFrame:
-    """d, ln, e, em, need: rows of one word and part with earlier ones, after the length and positional filters.
+def _near(n: Column, p: Column, m: Column, q: Column) -> Column:
+    """The length filter and the positional filter for a shared word at places p and q of sets of n and m words.
 
     The last of the first SHARED common words may stand SHARED - 1 places nearer to the end than the first.
     """
-    other = other.select("w", "part", F.col("d").alias("e"), F.col("ln").alias("em"), F.col("n").alias("m"), F.col("p").alias("q"))
-    earlier = (F.col("e") < F.col("d")) | (F.col("e") == F.col("d")) & (F.col("em") < F.col("ln"))
-    length = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
-    position = 9 * (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + SHARED - 1) >= 4 * (F.col("n") + F.col("m"))
-    need = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") * 4 / 5)).cast("int")
-    return rows.join(other, ["w", "part"]).filter(earlier & length & position).select("d", "ln", "e", "em", need.alias("need"))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (F.least(n - p, m - q) + SHARED - 1) >= 4 * (n + m))
+
+
+def _need(n: Column, m: Column) -> Column:
+    return F.least(F.lit(SHARED), F.ceil(F.least(n, m) * 4 / 5)).cast("int")
+
+
+def _earlier(d: Column, ln: Column, e: Column, em: Column) -> Column:
+    return (e < d) | (e == d) & (em < ln)
+
+
+def _met(rows: DataFrame, parts: Column, salted: bool) -> DataFrame:
+    """Pairs found inside groups of one word, in one shuffle and one sort.
+
+    kind 0: a pair from a group of up to GROUP + 1 rows, all of whose pairs are found; kind 1: a pair from a larger or a
+    salted group: with the rows just before, and with the group's first row; kind 2: a row of such a group.
+    """
+    keys = ["w", "part"] if salted else ["w"]
+    own = F.struct("d", "ln", "n", "p")
+    group = Window.partitionBy(*keys)
+    order = group.orderBy("d", "ln")
+    dealt = rows.repartition(partitions(rows), *keys)
+    dealt = dealt.withColumns({"before": F.collect_list(own).over(order.rowsBetween(-GROUP, -1)), "lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "g": F.count("*").over(group)})
+    large = (F.col("g") > GROUP + 1) | (parts > 1)
+    met = F.when(large, F.array_union("before", F.array("lead", own))).otherwise(F.col("before"))
+    met = dealt.filter((F.col("g") > 1) | (parts > 1)).select("w", F.col("part") if salted else F.lit(0).alias("part"), "d", "ln", "n", "p", large.alias("large"), F.explode(met).alias("o"))
+    d, ln, n, p, e, em, m, q = (F.col(x) for x in ("d", "ln", "n", "p", "o.d", "o.ln", "o.n", "o.p"))
+    itself = (d == e) & (ln == em)
+    kind = F.when(itself, 2).when(F.col("large"), 1).otherwise(0)
+    return met.filter(itself | _earlier(d, ln, e, em) & _near(n, p, m, q)).select(kind.alias("kind"), "d", "ln", e.alias("e"), em.alias("em"), _need(n, m).alias("need"), "w", "part", "n", "p")
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """d, ln of every line that goes."""
-    ranks, parts = _order(docs)
+    ranks, parts, salted = _order(docs)
     n = F.size("a")
     least = F.ceil(n * 4 / 5).cast("int")
     prefix = F.slice("a", 1, n - least + F.least(least, F.lit(SHARED)))
     every = materialise(_sets(_lines(docs), ranks).select("d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64("a", F.lit(1)).alias("c2"), n.alias("n"), prefix.alias("prefix")))
-    classes = every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln", "n", "prefix")).alias("s"))
-    rows = classes.select("s.d", "s.ln", "s.n", F.posexplode("s.prefix").alias("p", "w"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("d", "ln"), parts).cast("int")).repartition(partitions(docs), "w", "part")
-    groups = rows.groupBy("w", "part").agg(F.count("*").alias("g"), F.min("d").alias("lead")).filter((F.col("g") > 1) | (parts > 1))
-    sized = rows.join(groups, ["w", "part"])
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in _FOUND])
-    few = (F.col("g") <= GROUP) & (parts == 1)
-    small = kind(_met(sized.filter(few), sized.filter(few)), 0)
-    star = kind(_met(sized.filter(~few), sized.filter(~few & (F.col("d") == F.col("lead")))), 1)
-    large = kind(sized.filter(~few), 2)
-    found = materialise(small.union(star).union(large))
-    pairs = found.filter("kind < 2").select("d", "ln", "e", "em", "need")
-    first = materialise(_enough(pairs))
+    firsts = materialise(every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln")).alias("f")).select("c1", "c2", "f.d", "f.ln"))
+    # Lines that are no class's first hardly pass the filter; those that do are no harm, as they go anyway.
+    rows = every.filter(_may_hold(_id_filter(firsts, "d", "ln"), "d", "ln")).select("d", "ln", "n", F.posexplode("prefix").alias("p", "w"))
+    if salted:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("d", "ln"), parts).cast("int"))
+    found = materialise(_met(rows, parts, salted))
+    first = materialise(_enough(found.filter("kind < 2")))
     done = materialise(_verified(docs, first, ranks))
     # Lines without a witness so far meet all earlier lines of their large groups, too, in every salted part.
     rest = found.filter("kind = 2").select("w", "part", "d", "ln", "n", "p").join(done, ["d", "ln"], "left_anti")
     spread = rest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    wide = _met(spread, found.filter("kind = 2"))
+    other = found.filter("kind = 2").select("w", "part", F.col("d").alias("e"), F.col("ln").alias("em"), F.col("n").alias("m"), F.col("p").alias("q"))
+    d, ln, nn, p, e, em, m, q = (F.col(x) for x in ("d", "ln", "n", "p", "e", "em", "m", "q"))
+    wide = spread.join(other, ["w", "part"]).filter(_earlier(d, ln, e, em) & _near(nn, p, m, q)).select("d", "ln", "e", "em", _need(nn, m).alias("need"))
     known = found.filter("kind = 0").select("d", "ln", "e", "em", "need").join(rest.select("d", "ln").distinct(), ["d", "ln"], "left_semi")
     second = materialise(_enough(known.union(wide)).join(first, ["d", "ln", "e", "em"], "left_anti"))
     gone = materialise(done.union(_verified(docs, second, ranks)))
-    firsts = every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln")).alias("f"))
-    verdict = firsts.select("c1", "c2", F.col("f.d").alias("d"), F.col("f.ln").alias("ln")).join(gone.withColumn("gone", F.lit(True)), ["d", "ln"], "left")
-    verdict = verdict.select("c1", "c2", F.col("d").alias("fd"), F.col("ln").alias("fl"), "gone")
-    later = (F.col("d") > F.col("fd")) | (F.col("d") == F.col("fd")) & (F.col("ln") > F.col("fl"))
+    verdict = firsts.join(gone.withColumn("gone", F.lit(True)), ["d", "ln"], "left").select("c1", "c2", F.col("d").alias("fd"), F.col("ln").alias("fl"), "gone")
+    later = _earlier(F.col("d"), F.col("ln"), F.col("fd"), F.col("fl"))
     return every.select("d", "ln", "c1", "c2").join(verdict, ["c1", "c2"]).filter(later | F.coalesce("gone", F.lit(False))).select("d", "ln").distinct()
 
 
-_FOUND = [("d", "long"), ("ln", "int"), ("e", "long"), ("em", "int"), ("need", "int"), ("w", "long"), ("part", "int"), ("n", "int"), ("p", "int")]
-
-
 def _with_removed(docs: DataFrame) -> DataFrame:
     """Every row as ``row``, its text, and the numbers of its removed lines (null: none).
 
