@@ -18,6 +18,8 @@ from .leaf import matrix
 ROOT = "0"
 #: Bytes of centroids that are sent to every executor, at most.
 TREE_BYTES = 512 << 20
+#: Ids of sampled members that are sent to every executor, at most.
+SENT_IDS = 1_000_000
 
 
 def block_stats(blocks: DataFrame, rho: int, seed: int) -> DataFrame:
@@ -100,7 +102,9 @@ def grow_level(vectors: DataFrame, tree: Tree, alpha: int, rho: int, seed: int,
         return False
     # Fewer than N / alpha blocks with rho centroids each; the tree's bytes are checked before it is sent out.
     chosen = sample_centroids(placed.filter(F.col("path").isin(*sizes)) if len(sizes) < 1000 else placed, rho, derive(seed, level))
-    rows = chosen.join(vectors.select("id", "vec"), "id").select("path", "idx", "vec").collect()
+    if rho * len(sizes) <= SENT_IDS:
+        chosen = F.broadcast(chosen)  # so few ids that vectors needn't be shuffled to meet them
+    rows = vectors.select("id", "vec").join(chosen, "id").select("path", "idx", "vec").collect()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.path, r.idx)):
         if r.path in sizes:

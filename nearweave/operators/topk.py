@@ -13,13 +13,11 @@ def top_k(edges: DataFrame, k: int) -> DataFrame:
 def merge_top_k(old: DataFrame | None, offers: DataFrame, k: int) -> DataFrame:
     """u, v, d, is_new: the k nearest distinct ids of both; an id that was in the old list stays old.
 
-    Offers are cut to 2k for each node before they meet the old lists (at most k of them can be known already), and all
-    steps share one dealing by node.
+    One shuffle: removing repeated ids and cutting the lists keep the dealing by node.
     """
-    offers = offers.select("u", "v", "d").distinct()
-    if old is None:
-        return top_k(offers, k).withColumn("is_new", F.lit(True))
-    both = old.select("u", "v", "d", F.lit(False).alias("is_new")).unionByName(top_k(offers, 2 * k).withColumn("is_new", F.lit(True)))
+    both = offers.select("u", "v", "d", F.lit(True).alias("is_new"))
+    if old is not None:
+        both = both.unionByName(old.select("u", "v", "d", F.lit(False).alias("is_new")))
     n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = both.repartition(n, "u").groupBy("u", "v").agg(F.min("d").alias("d"), F.min("is_new").alias("is_new"))
     return top_k(single, k)

@@ -9,7 +9,7 @@ from ..functions.distance import Metric
 from ..functions.rand import derive
 from ..operators.leaf import CUTOFF, leaf_knn
 from ..operators.partition import recursive_partition, routed
-from ..operators.topk import merge_top_k, top_k
+from ..operators.topk import merge_top_k
 from .history import History
 from .tables import settle
 
@@ -21,7 +21,7 @@ def epoch_lists(vectors: DataFrame, k: int, alpha: int, rho: int, seed: int, epo
         own = derive(seed, epoch, tree)
         part = leaf_knn(routed(vectors, recursive_partition(vectors, alpha, rho, own, metric_name)), k, metric_name, cutoff, own)
         found = part if found is None else found.unionByName(part)
-    return top_k(found.distinct(), k) if trees > 1 else found
+    return found
 
 
 def forest_knn(
