@@ -25,7 +25,7 @@ from .common import PASS_BYTES, doc_texts, lower_ascii, passes, raw, word_hashes
 SAMPLE = 6000
 #: Words of a passage.
 PASSAGE = 64
-HIDDEN, GATES, EPOCHS = 24, 12, 400
+HIDDEN, GATES, EPOCHS = 24, 12, 160
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
