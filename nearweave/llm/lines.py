@@ -34,7 +34,7 @@ BUCKETS = 1 << BITS
 #: Shared rare words that a pair must have; prefixes are longer by one less.
 SHARED = 2
 #: Rows just before a line's, in the order of places, that it meets in each of its words' groups at once.
-GROUP = 64
+GROUP = 32
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
 #: Bits of the fixed-size filters on ids: 64 in each of so many longs.
@@ -147,9 +147,9 @@ def _met(rows: DataFrame, parts: Column, salted: bool) -> DataFrame:
     group = Window.partitionBy(*keys)
     order = group.orderBy("d", "ln")
     dealt = rows.repartition(partitions(rows), *keys)
-    dealt = dealt.withColumns({"before": F.collect_list(own).over(order.rowsBetween(-GROUP, -1)), "lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "g": F.count("*").over(group)})
+    dealt = dealt.withColumns({"before": F.collect_list(own).over(order.rowsBetween(-GROUP, -1)), "lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "rank": F.row_number().over(order), "g": F.count("*").over(group)})
     large = (F.col("g") > GROUP + 1) | (parts > 1)
-    met = F.when(large, F.array_union("before", F.array("lead", own))).otherwise(F.col("before"))
+    met = F.when(~large, F.col("before")).when(F.col("rank") > GROUP + 1, F.concat("before", F.array("lead", own))).otherwise(F.concat("before", F.array(own)))
     met = dealt.filter((F.col("g") > 1) | (parts > 1)).select("w", F.col("part") if salted else F.lit(0).alias("part"), "d", "ln", "n", "p", large.alias("large"), F.explode(met).alias("o"))
     d, ln, n, p, e, em, m, q = (F.col(x) for x in ("d", "ln", "n", "p", "o.d", "o.ln", "o.n", "o.p"))
     itself = (d == e) & (ln == em)
