@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWEST, lowest_id, materialise, partitions
 
 SEPARATOR = r"[ \t\x0B\f\r]+"
-BITS = 14
+BITS = 16
 BUCKETS = 1 << BITS
 #: Shared rare words that a pair must have; prefixes are longer by one less.
 SHARED = 2
@@ -68,9 +68,8 @@ def _order(docs: DataFrame) -> tuple[Column, Column, bool]:
     rows = sorted((counts.get(b, 0), b) for b in range(BUCKETS))
     turn, half = [0] * BUCKETS, BUCKETS >> 1
     for rank, (_, bucket) in enumerate(rows):
-        x = (bucket ^ rank ^ half) << (64 - BITS)
-        turn[bucket] = x - (1 << 64) if x >> 63 else x
-    ranks = F.split(F.lit(",".join(map(str, turn))), ",").cast("array<bigint>")
+        turn[bucket] = bucket ^ rank ^ half
+    ranks = F.split(F.lit(",".join(map(str, turn))), ",").cast("array<int>")
     large = [(rank, -(-c // FREQUENT)) for rank, (c, _) in enumerate(rows) if c > FREQUENT]
     parts = F.lit(1)
     if large:
@@ -85,7 +84,7 @@ def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
     The bucket bits on top of a hash give way to the bucket's rank, which loses nothing and sorts by rarity.
     """
     hashes = F.array_except(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
-    placed = F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")))))
+    placed = F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")).cast("long"), 64 - BITS))))
     return lines.select("d", "ln", placed.alias("a")).filter(F.size("a") > 0)
 
 
