@@ -6,7 +6,9 @@
 3. Signatures are cut into bands. Members of a bucket are tied to a few leaders of the bucket (its least id and the
    least under some permutations): as many candidate pairs as members, whatever the bucket's size.
 4. Candidate pairs are verified on signatures with a generous margin, and large-star and small-star give candidate
-   clusters. Links hold only inside them.
+   clusters. In a bucket that holds several clusters, every member outside its largest one then meets every member of
+   the others whose number of shingles allows a link; pairs within the margin unite their clusters. So each pair that
+   shares a bucket is in one cluster or was compared. Links hold only inside clusters.
 5. Each cluster's full sets meet once: a search from member to member over the members not yet reached finds exactly the
    linked groups, and emits a spanning edge for each member it reaches. A cluster whose sets exceed a bound is cut into
    salted blocks, and every pair of blocks meets in a task of its own, so no task holds an unbounded group.
@@ -34,6 +36,8 @@ from .components import connected_components
 BLOCK = 4_000_000
 #: Leaders of a bucket besides its least id.
 LEADERS = 3
+#: Members of a bucket with several clusters that meet in one task, at most: those outside its largest cluster, and all.
+FEW, MANY = 4096, 16384
 #: Signature estimates may fall short of the threshold by so much in step 4.
 MARGIN = 0.25
 
@@ -110,35 +114,114 @@ def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _stars(bands: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of members and leaders of buckets."""
+def _shared(bands: DataFrame) -> DataFrame:
+    """key, id and leaders: the members of buckets with more than one row."""
     held = [F.min_by("id", F.xxhash64("id", F.lit(s))) for s in range(LEADERS)]
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min("id"), *held).alias("leaders")).filter("n > 1").select("key", "leaders")
-    pairs = bands.join(buckets, "key").select("id", F.explode(F.array_distinct("leaders")).alias("leader")).filter("id <> leader")
+    return bands.join(buckets, "key")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of members and leaders of buckets."""
+    pairs = shared.select("id", F.explode(F.array_distinct("leaders")).alias("leader")).filter("id <> leader")
     return pairs.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in at least that share of places, by one byte of each place."""
+def _low(reps: DataFrame) -> DataFrame:
+    """id, n and low: one byte of each place of the signature."""
 
     def narrow(batches):
         for batch in batches:
-            body, _ = raw(batch.column(1))
+            body, _ = raw(batch.column(2))
             sig = np.ascontiguousarray(np.frombuffer(body.tobytes(), np.uint32).reshape(batch.num_rows, -1).astype(np.uint8))
-            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "low"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "n", "low"])
+
+    return reps.select("id", "n", "sig").mapInArrow(narrow, "id long, n long, low binary")
+
+
+def _share(agree: np.ndarray) -> np.ndarray:
+    """Estimated similarity by the share of places whose bytes agree."""
+    return (agree - 1 / 256) / (1 - 1 / 256)
+
+
+def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Pairs whose signatures agree in at least that share of places, by one byte of each place."""
 
     def compare(batches):
         for batch in batches:
             a, b = (np.frombuffer(raw(batch.column(i))[0].tobytes(), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            share = ((a == b).mean(1) - 1 / 256) / (1 - 1 / 256) if batch.num_rows else np.zeros(0)
+            share = _share((a == b).mean(1)) if batch.num_rows else np.zeros(0)
             keep = pa.array(share >= least)
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    low = reps.select("id", "sig").mapInArrow(narrow, "id long, low binary")
+    low = _low(reps).drop("n")
     both = pairs.join(low.withColumnsRenamed({"id": "u", "low": "lu"}), "u").join(low.withColumnsRenamed({"id": "v", "low": "lv"}), "v")
     return both.select("u", "v", "lu", "lv").mapInArrow(compare, "u long, v long")
 
 
+def united(side: np.ndarray, n: np.ndarray, cluster: np.ndarray, low: np.ndarray, least: float, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Spanning edges between clusters with a pair of members that may be linked, one of them with side >= 2, the other odd."""
+    num, den = share
+    right = np.flatnonzero(side & 1)
+    right = right[np.argsort(n[right], kind="stable")]
+    size, body = n[right], low[right]
+    names, label = np.unique(cluster, return_inverse=True)
+    group = np.arange(len(names))
+    edges = []
+    for i in np.flatnonzero(side >= 2).tolist():
+        # Sets whose sizes differ by more than the threshold can't be linked.
+        a, b = np.searchsorted(size * den, num * n[i], "left"), np.searchsorted(size * num, den * n[i], "right")
+        own = group[label[i]]
+        near = a + np.flatnonzero(group[label[right[a:b]]] != own)
+        if len(near):
+            hit = label[right[near[_share((body[near] == low[i]).mean(1)) >= least]]]
+            for other in np.unique(group[hit]).tolist():
+                edges.append((int(names[own]), int(names[other])))
+                group[group == other] = own
+    return edges
+
+
+def _between(shared: DataFrame, clusters: DataFrame, reps: DataFrame, least: float, share: tuple[int, int]) -> DataFrame:
+    """Edges (u, v) between clusters that meet in a bucket and have a pair of members within the margin there."""
+    placed = shared.select("key", "id").join(clusters, "id", "left").select("key", "id", F.coalesce("cluster", "id").alias("cluster"))
+    parts = placed.groupBy("key", "cluster").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "cluster")).alias("most"), F.count("*").alias("c")).filter("c > 1")
+    few, many = F.ceil((F.col("n") - F.col("most.n")) / FEW).cast("int"), F.ceil(F.col("n") / MANY).cast("int")
+    buckets = buckets.select("key", F.col("most.cluster").alias("most"), few.alias("few"), many.alias("many"))
+    i, j = (F.pmod(F.xxhash64("id", F.lit(s)), F.col(x)).cast("int") for s, x in ((5, "few"), (6, "many")))
+    at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    minor = F.col("cluster") != F.col("most")
+    rights = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda x: at(x, F.col("own_j"), 1))
+    lefts = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda x: at(F.col("own_i"), x, 2))
+    meets = F.when((F.col("few") == 1) & (F.col("many") == 1), F.array(F.when(minor, at(F.lit(0), F.lit(0), 3)).otherwise(at(F.lit(0), F.lit(0), 1)))).otherwise(
+        F.when(minor, F.concat(rights, lefts)).otherwise(rights)
+    )
+    dealt = placed.join(buckets, "key").withColumns({"own_i": i, "own_j": j}).select("key", "id", "cluster", F.explode(meets).alias("at"))
+    dealt = dealt.select("key", "at.i", "at.j", "at.side", "cluster", "id").join(_low(reps), "id").select("key", "i", "j", "side", "n", "cluster", "low")
+
+    def meet(batches):
+        held: list[tuple] = []
+        now = None
+
+        def close():
+            side, n, cluster = (np.array(x, np.int64) for x in list(zip(*held))[:3])
+            low = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
+            us, vs = zip(*found) if (found := united(side, n, cluster, low, least, share)) else ((), ())
+            return pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for key, i, j, *row in zip(*(batch.column(x).to_pylist() for x in range(7))):
+                if (key, i, j) != now:
+                    if len(held) > 1:
+                        yield close()
+                    held, now = [], (key, i, j)
+                held.append(row)
+        if len(held) > 1:
+            yield close()
+
+    return dealt.repartition(partitions(shared), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long")
+
+
 def linked(ids: np.ndarray, shingles: np.ndarray, bounds: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
     """Spanning edges of the exact links among sets: den * |both| >= num * |either|, each member reached once."""
     num, den = share
@@ -226,8 +309,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, share: tuple[int, int] = (85, 1
     classes = materialise(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     alone = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
     reps = known.join(alone, ["doc_id", "n", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sig")
-    pairs = _estimated(_stars(_bands(reps, bands, rows)), reps, share[0] / share[1] - MARGIN)
-    clusters = connected_components(pairs).withColumnsRenamed({"node": "id", "component": "cluster"})
+    least = share[0] / share[1] - MARGIN
+    shared = materialise(_shared(_bands(reps, bands, rows)))
+    clusters = materialise(connected_components(_estimated(_stars(shared), reps, least)).withColumnsRenamed({"node": "id", "component": "cluster"}))
+    between = _between(shared, clusters, reps, least, share)
+    clusters = connected_components(clusters.toDF("u", "v").union(between)).withColumnsRenamed({"node": "id", "component": "cluster"})
     members = materialise(reps.select("id", "n").join(clusters, "id"))
     # Rows of one doc_id are one document: the classes it belongs to are linked through it.
     through = known.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id").join(known, "doc_id").join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))

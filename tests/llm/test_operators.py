@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import json
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nearweave.llm import bpe, components, licenses, lines, media, minhash, packing, quality, queries, substring, tokencounts, topk
@@ -299,6 +301,32 @@ def test_minhash_in_blocks(docs, monkeypatch):
     assert kept.columns == docs.columns
 
 
+def _stubs(spark):
+    """Long texts that hold a passage, and short ones that are little else and never lead: linked, but unlike the long ones."""
+    r = random.Random(3)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = prose(100)
+    last = F.least(*(F.xxhash64("id", F.lit(s)) for s in range(minhash.LEADERS))).desc()
+    ids = [x.id for x in spark.range(1000, 9000).orderBy(last).limit(4).collect()]
+    return [(i, " ".join(passage + prose(200))) for i in range(40)], [(i, " ".join(passage + prose(6))) for i in ids]
+
+
+def test_minhash_links_members_unlike_all_leaders(spark, monkeypatch):
+    # The case in which the stubs share no bucket without long texts.
+    monkeypatch.setattr(minhash, "_bands", lambda reps, bands, rows: reps.select(F.lit(1).cast("long").alias("key"), "id"))
+    long, stubs = _stubs(spark)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(brute.documents(spark, long + stubs)).collect()}
+    want = {i: c for i, (_, c) in brute.groups(stubs).items()}
+    assert len(set(want.values())) == 1
+    assert got == {i: i for i, _ in long} | want
+
+
+def test_minhash_links_members_unlike_all_leaders_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 7)
+    monkeypatch.setattr(minhash, "MANY", 30)
+    test_minhash_links_members_unlike_all_leaders(spark, monkeypatch)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
