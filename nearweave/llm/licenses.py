@@ -1,6 +1,8 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences and normalised; a normalised sentence that is known stands for a licence-sentence
+Texts are cut into sentences, at punctuation before white space and at blank lines, and normalised; a sentence may run
+over several lines, and any run of whole lines inside it counts as a sentence too (headings, one-line notices), the
+earliest and then longest first; a normalised sentence that is known stands for a licence-sentence
 identifier; the document's sequence of identifiers is matched from left to right against ordered licence rules, each a
 sequence of identifiers. A rule that stands earlier wins where two begin at the same place; matches do not overlap;
 unknown sentences between known ones are skipped. Only built-in functions run, in one pass without a shuffle.
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import doc_texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at such marks before white space, or at the end of a line.
+#: The plain form that SQL uses: a sentence ends at such marks before white space, or at the end of a line.
 SENTENCE_END = r"[.!?;:]+[ \t\f\r]+|[.!?;:]*[\n]+"
 #: Everything else becomes a blank in a normalised sentence.
 NOT_KEPT = r"[^a-z0-9]+"
@@ -94,9 +96,18 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def normalised_sentences(text: Column) -> Column:
-    """The sentences of a text: lower case, letters and digits of ASCII only, single blanks."""
-    return F.transform(F.split(lower_ascii(text), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, NOT_KEPT, " ")))
+def marked_sentences(text: Column) -> Column:
+    """Lower case, letters and digits of ASCII only, single blanks; E stands between sentences, L between their lines."""
+    out = F.regexp_replace(lower_ascii(text), r"[.!?;:]+[ \t\f\r\n]+|\n[^a-z0-9]*\n", "E")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n", "L"), r"[^a-z0-9EL]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ L]*E[ EL]*", "E"), r" ?L[ L]*", "L"))
+
+
+def known_sentences(text: Column) -> Column:
+    """The known sentences of a text, in order: between ends of sentences or lines, on one line or several."""
+    forms = "|".join(f.replace(" ", "[ L]") for f in sorted(_FORMS, key=len, reverse=True))
+    found = F.regexp_extract_all(marked_sentences(text), F.lit(f"(?<![a-z0-9 ])(?:{forms})(?![a-z0-9 ])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "L", " "))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -107,7 +118,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     cue = None
     for c in CUES:
         cue = lowered.contains(c) if cue is None else cue | lowered.contains(c)
-    named = F.filter(F.transform(normalised_sentences(text), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    named = F.transform(known_sentences(text), lambda s: F.element_at(known, s))
     ids = F.when(cue, named).otherwise(F.array().cast("array<string>"))
     found = doc_texts(docs).select("doc_id", ids.alias("ids"))
     pattern = "|".join("".join(f"<{i}>" for i in rule) for _, rule in RULES)
