@@ -85,8 +85,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("CcBy4Name",)),
     ("Proprietary", ("AllRights",)),
 )
-#: Each known sentence holds one of these: texts without any are not cut.
-CUES = ("licens", "permi", "redistribut", "warrant", "reserved", "free software")
+#: Each known sentence holds one of these, within a word, as blanks are not normalised yet: texts without any are not cut.
+CUES = ("licens", "permi", "redistribut", "warrant", "reserved", "software")
 assert all(any(c in s for c in CUES) for forms in SENTENCES.values() for s in forms if "copy of the license" not in s)
 
 _FORMS = {form: name for name, forms in SENTENCES.items() for form in forms}

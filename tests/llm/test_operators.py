@@ -123,6 +123,11 @@ def test_wrapped_licences(spark):
     assert rows[0].sentence_ids == "MitGrant MitNotice MitAsIs" and rows[3].sentence_ids == "Apache2Name Apache2Use Apache2Copy Apache2AsIs"
 
 
+def test_licence_cue_with_other_blanks(spark):
+    rows = licenses.scan_licences(brute.documents(spark, [(1, "This program is free  software."), (2, "This program is free\tsoftware.")])).collect()
+    assert [(r.n_known, r.sentence_ids) for r in rows] == [(1, "GplFree")] * 2
+
+
 def test_substring_dedup(docs, empty, spark):
     got = by_id(substring.removal_digests(docs))
     want = brute.repeats(TEXT.items())
