@@ -1,23 +1,92 @@
-"""Tables that cut lineage between rounds."""
+"""Tables that cut lineage between steps, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's switch that deletes an execution's shuffle files when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def shared_path(spark: SparkSession, name: str = "t") -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir); a default only where that is unset."""
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and all executors run in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/nearweave-{name}-{uuid.uuid4().hex}"
+        root = held.get() if held.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "/tmp/checkpoints"
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str = "t") -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/nearweave-{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: nothing reads them once the table stands."""
+    held = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, held) if held is not None else spark.conf.unset(_CLEAN)
+
+
+class Tables:
+    """Intermediate tables of one run. Leaving the block deletes all but those that were kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = shared_path(spark, "run")
+        self._paths: dict[int, str] = {}
+        self._frames: list[DataFrame] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.root)
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write the rows and read them again: later steps don't repeat earlier ones, and a lost executor costs one step."""
+        out, path = _written(df, f"{self.root}/{len(self._frames)}")
+        self._paths[id(out)] = path
+        self._frames.append(out)  # an id stays unique while its frame is held
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for df in frames:
+            delete(self.spark, self._paths.pop(id(df)))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows in a table of its own, which stays: what a returned frame may read."""
+        return settle(df)
+
+
+def _written(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    with _shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them again: later rounds don't repeat earlier ones."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows, written to a fresh table in the shared folder and read again."""
+    return _written(df, shared_path(df.sparkSession))[0]
