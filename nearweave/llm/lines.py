@@ -3,16 +3,18 @@
 A line is the set of its words. A line goes if an earlier line (smaller doc_id, or same document and smaller line
 number) has a Jaccard similarity of at least 4/5 with it, whether or not that one stays. Steps:
 
-1. Word counts over the corpus, in a fixed number of hash buckets (exact for the bucket), give every word a place in one
-   order from rare to common; the order only steers the work, any order gives the same result.
-2. Lines with equal sets form a class, for which its first line stands.
-3. Prefix filter: two sets with that similarity share SHARED words among their rarest n - ceil(4n/5) + SHARED words (less
-   for the shortest lines). One row for each of these words is dealt by word; words that may occur in more than FREQUENT
-   rows are dealt into salted parts. The length filter and the positional filter stand in the join.
-4. A line meets the GROUP lines before it in each of its words' groups, and the group's first line: pairs grow with the
-   lines. Smaller groups are done with that. Lines verified as later matches need no other witness.
-5. The rest meet all earlier lines of their larger groups. Pairs with enough shared words are verified on the full sets,
-   which are built anew for lines in pairs only.
+1. Word counts over the corpus, in BUCKETS hash buckets, give every word a rarity, and words one order from rare to
+   common (equal rarities: by hash). The order only steers the work, any order gives the same result.
+2. Lines with equal sets form a class, for which its first line stands; the others have an earlier equal line and go.
+3. Prefix filter: two sets with that similarity share a word among their rarest n - ceil(4n/5) + 1. A row for each of
+   these words is dealt by word, and by a salt as well where the word may occur in more than FREQUENT rows. Lines of up to
+   three words have no partners but equal ones; words of buckets with one occurrence meet nothing and aren't dealt.
+4. In a word's group of up to GROUP rows every row meets the earlier ones, behind the length filter, the positional filter
+   and a bitmap filter: the parities of a set's word hashes in 128 places differ in no more places than the sets do.
+5. Rows of larger or salted groups meet the group's first row. Those without an earlier match so far are dealt again by two
+   words, the group's and a later one of the prefix, which is longer by one word for that; similar sets share both.
+6. Pairs that pass are verified on the full sets, which are built anew for lines in pairs only; first the nearest partner
+   of each line by its bitmap, then all others of the lines that had no match.
 
 Defined results: lines are what line feeds separate; words are runs of anything but blanks and the controls from tab to
 carriage return; lines without words take no part and stay; a null text has no lines and stays null; an empty text has
@@ -26,18 +28,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, lowest_id, materialise, partitions
+from ..plans.tables import Tables
+from .common import LOWEST, lowest_id, partitions
 
 SEPARATOR = r"[ \t\x0B\f\r]+"
-BITS = 16
+BITS = 20
 BUCKETS = 1 << BITS
-#: Shared rare words that a pair must have; prefixes are longer by one less.
-SHARED = 2
-#: Rows just before a line's, in the order of places, that it meets in each of its words' groups at once.
-GROUP = 32
+#: Rows of a word's group in which all meet.
+GROUP = 256
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
-#: Bits of the fixed-size filters on ids: 64 in each of so many longs.
+#: A word is its rarity (a third of a power of two) on top of these bits of its hash.
+KEPT = 56
+#: Bits of the fixed-size filters on ids: 64 in each of so many longs; they tell apart an eighth as many ids.
 FILTER_WORDS = 1 << 17
 
 
@@ -47,45 +50,45 @@ def _words(line: Column) -> Column:
     return F.when(other, F.split(line, SEPARATOR)).otherwise(F.split(line, " "))
 
 
+def _hashes(line: Column) -> Column:
+    """Distinct word hashes of a line."""
+    return F.array_except(F.transform(_words(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """d, ln, line."""
     return docs.select(lowest_id().alias("d"), F.posexplode(F.split(F.col("text"), "\n")).alias("ln", "line"))
 
 
-def _bucket_counts(docs: DataFrame) -> DataFrame:
-    """bucket and c: words of all lines by the first bits of their hashes."""
-    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
-    return words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("bucket")).agg(F.count("*").alias("c"))
+def _rarities(docs: DataFrame) -> Column:
+    """A constant array with each bucket's rarity, floor(3 * log2(count)), in the place it has in a word."""
+    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("b"), F.lit(1).alias("c"))
+    every = words.union(docs.sparkSession.range(BUCKETS).select("id", F.lit(0))).groupBy("b").agg(F.sum("c").alias("c"))
+    rarity = F.least(F.floor(3 * F.log2(F.greatest("c", F.lit(1)))), F.lit(126)).cast("long")
+    blocks = every.groupBy(F.shiftright("b", BITS // 2).alias("h")).agg(F.sort_array(F.collect_list(F.struct("b", F.shiftleft(rarity, KEPT).alias("r")))).alias("x"))
+    blocks = blocks.select("h", F.transform("x", lambda x: x["r"]).alias("x"))  # as many rows as a block has buckets
+    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda x: x["x"])).alias("r")).scalar()
 
 
-def _order(docs: DataFrame) -> tuple[Column, Column, bool]:
-    """A constant array that turns a hash's bucket into the bucket's rank (from the rarest), the salted parts of a word
-    and whether any word has more than one.
+def _parts(word: Column) -> Column:
+    """Salted parts of a word's rows."""
+    rarity = F.shiftright(word, KEPT)
+    return F.when(rarity >= 3 * (FREQUENT.bit_length() - 1), F.ceil(F.pow(F.lit(2.0), (rarity + 1) / 3) / FREQUENT).cast("int")).otherwise(1)
 
-    The bucket counts come to the driver: BUCKETS rows at most, whatever the input's size.
-    """
-    counts = {r.bucket: r.c for r in _bucket_counts(docs).collect()}
-    rows = sorted((counts.get(b, 0), b) for b in range(BUCKETS))
-    turn, half = [0] * BUCKETS, BUCKETS >> 1
-    for rank, (_, bucket) in enumerate(rows):
-        turn[bucket] = bucket ^ rank ^ half
-    ranks = F.split(F.lit(",".join(map(str, turn))), ",").cast("array<int>")
-    large = [(rank, -(-c // FREQUENT)) for rank, (c, _) in enumerate(rows) if c > FREQUENT]
-    parts = F.lit(1)
-    if large:
-        held = F.map_from_arrays(*(F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>") for x in zip(*large)))
-        parts = F.coalesce(F.try_element_at(held, (F.shiftright("w", 64 - BITS) + half).cast("int")), F.lit(1))
-    return ranks, parts, bool(large)
-
-
-def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """d, ln, a of lines with words: a is the line's set of word hashes, from rare to common.
-
-    The bucket bits on top of a hash give way to the bucket's rank, which loses nothing and sorts by rarity.
-    """
-    hashes = F.array_except(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
-    placed = F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")).cast("long"), 64 - BITS))))
-    return lines.select("d", "ln", placed.alias("a")).filter(F.size("a") > 0)
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """Every line with words: d, ln, digest c1 and c2 of its set, n, bitmaps b0 and b1, prefix from rare to common."""
+    placed = lambda h: F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << KEPT) - 1)))
+    bits = lambda half: F.aggregate("a", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.when(half(h), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    lines = _lines(docs).filter(F.trim("line") != "").select("d", "ln", _hashes(F.col("line")).alias("h"))
+    lines = lines.withColumn("r", _rarities(docs)).select("d", "ln", F.sort_array(F.transform("h", placed)).alias("a"))
+    n = F.size("a")
+    prefix = F.when(n > 3, F.slice("a", 1, n - F.ceil(n * 4 / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
+    side = lambda h: h.bitwiseAND(F.lit(64).cast("long"))
+    return lines.select(
+        "d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64(F.lit(1), "a").alias("c2"), n.alias("n"),
+        bits(lambda h: side(h) == 0).alias("b0"), bits(lambda h: side(h) != 0).alias("b1"), prefix.alias("prefix"),
+    )
 
 
 def _id_filter(ids: DataFrame, *columns: str) -> Column:
@@ -101,88 +104,112 @@ def _may_hold(bits: Column, *columns: str) -> Column:
     return F.bit_get(F.element_at(bits, F.shiftright(bit, 6).cast("int") + 1), bit.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
-    """d, ln of lines that have a pair (d, ln) with an earlier (e, em) of at least that similarity.
-
-    Sets are built anew for lines in pairs only: a filter of fixed size on the lines' ids comes before the shuffle.
-    """
-    named = pairs.select("d", "ln").union(pairs.select(F.col("e").alias("d"), F.col("em").alias("ln")))
-    lines = _lines(docs).filter(_may_hold(_id_filter(named, "d", "ln"), "d", "ln"))
-    sets = materialise(_sets(lines, ranks))
-    both = pairs.join(sets.withColumnRenamed("a", "ax"), ["d", "ln"]).join(sets.select(F.col("d").alias("e"), F.col("ln").alias("em"), F.col("a").alias("ay")), ["e", "em"])
-    common = F.size(F.array_intersect("ax", "ay"))
-    return both.filter(9 * common >= 4 * (F.size("ax") + F.size("ay"))).select("d", "ln").distinct()
-
+def _earlier(d: Column, ln: Column, e: Column, em: Column) -> Column:
+    return (e < d) | (e == d) & (em < ln)
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs that share as many rare words as they must."""
-    return pairs.groupBy("d", "ln", "e", "em").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("d", "ln", "e", "em")
 
+def _similar(shared: int) -> Column:
+    """The filters on a pair of rows of x and y that share ``shared`` words up to their places p: length, position, bitmap."""
+    n, m, p, q = (F.col(x) for x in ("x.n", "y.n", "x.p", "y.p"))
+    length = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    position = 9 * (F.least(n - p, m - q) + shared) >= 4 * (n + m)
+    return length & position & (9 * _far() <= n + m)
 
-def _near(n: Column, p: Column, m: Column, q: Column) -> Column:
-    """The length filter and the positional filter for a shared word at places p and q of sets of n and m words.
 
-    The last of the first SHARED common words may stand SHARED - 1 places nearer to the end than the first.
-    """
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (F.least(n - p, m - q) + SHARED - 1) >= 4 * (n + m))
+def _far() -> Column:
+    """Places in which the bitmaps of x and y differ."""
+    return F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
 
 
-def _need(n: Column, m: Column) -> Column:
-    return F.least(F.lit(SHARED), F.ceil(F.least(n, m) * 4 / 5)).cast("int")
+def _pairs(x: DataFrame, y: DataFrame, keys: list[str], shared: int) -> DataFrame:
+    """d, ln, e, em, far of pairs of a line (of x) and an earlier one (of y) that share the keys and pass the filters."""
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    met = x.alias("x").join(y.alias("y"), [*same, _earlier(F.col("x.d"), F.col("x.ln"), F.col("y.d"), F.col("y.ln")), _similar(shared)])
+    return met.select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far"))
 
 
-def _earlier(d: Column, ln: Column, e: Column, em: Column) -> Column:
-    return (e < d) | (e == d) & (em < ln)
+_ROW = ["d", "ln", "n", "p", "b0", "b1"]
 
 
-def _met(rows: DataFrame, parts: Column, salted: bool) -> DataFrame:
-    """Pairs found inside groups of one word, in one shuffle and one sort.
+def _met(every: DataFrame) -> DataFrame:
+    """One table with three kinds of rows, from one dealing by class and one by word.
 
-    kind 0: a pair from a group of up to GROUP + 1 rows, all of whose pairs are found; kind 1: a pair from a larger or a
-    salted group: with the rows just before, and with the group's first row; kind 2: a row of such a group.
+    kind 0: a pair (d, ln, e, em, far) from a small group; kind 1: a row of a larger group (w and what _ROW names);
+    kind 2: a class's first line (d, ln).
     """
-    keys = ["w", "part"] if salted else ["w"]
-    own = F.struct("d", "ln", "n", "p")
-    group = Window.partitionBy(*keys)
-    order = group.orderBy("d", "ln")
-    dealt = rows.repartition(partitions(rows), *keys)
-    dealt = dealt.withColumns({"before": F.collect_list(own).over(order.rowsBetween(-GROUP, -1)), "lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "rank": F.row_number().over(order), "g": F.count("*").over(group)})
-    large = (F.col("g") > GROUP + 1) | (parts > 1)
-    met = F.when(~large, F.col("before")).when(F.col("rank") > GROUP + 1, F.concat("before", F.array("lead", own))).otherwise(F.concat("before", F.array(own)))
-    met = dealt.filter((F.col("g") > 1) | (parts > 1)).select("w", F.col("part") if salted else F.lit(0).alias("part"), "d", "ln", "n", "p", large.alias("large"), F.explode(met).alias("o"))
-    d, ln, n, p, e, em, m, q = (F.col(x) for x in ("d", "ln", "n", "p", "o.d", "o.ln", "o.n", "o.p"))
-    itself = (d == e) & (ln == em)
-    kind = F.when(itself, 2).when(F.col("large"), 1).otherwise(0)
-    return met.filter(itself | _earlier(d, ln, e, em) & _near(n, p, m, q)).select(kind.alias("kind"), "d", "ln", e.alias("e"), em.alias("em"), _need(n, m).alias("need"), "w", "part", "n", "p")
-
-
-def later_matches(docs: DataFrame) -> DataFrame:
-    """d, ln of every line that goes."""
-    ranks, parts, salted = _order(docs)
-    n = F.size("a")
-    least = F.ceil(n * 4 / 5).cast("int")
-    prefix = F.slice("a", 1, n - least + F.least(least, F.lit(SHARED)))
-    every = materialise(_sets(_lines(docs), ranks).select("d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64("a", F.lit(1)).alias("c2"), n.alias("n"), prefix.alias("prefix")))
-    firsts = materialise(every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln")).alias("f")).select("c1", "c2", "f.d", "f.ln"))
-    # Lines that are no class's first hardly pass the filter; those that do are no harm, as they go anyway.
-    rows = every.filter(_may_hold(_id_filter(firsts, "d", "ln"), "d", "ln")).select("d", "ln", "n", F.posexplode("prefix").alias("p", "w"))
-    if salted:
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("d", "ln"), parts).cast("int"))
-    found = materialise(_met(rows, parts, salted))
-    first = materialise(_enough(found.filter("kind < 2")))
-    done = materialise(_verified(docs, first, ranks))
-    # Lines without a witness so far meet all earlier lines of their large groups, too, in every salted part.
-    rest = found.filter("kind = 2").select("w", "part", "d", "ln", "n", "p").join(done, ["d", "ln"], "left_anti")
-    spread = rest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    other = found.filter("kind = 2").select("w", "part", F.col("d").alias("e"), F.col("ln").alias("em"), F.col("n").alias("m"), F.col("p").alias("q"))
-    d, ln, nn, p, e, em, m, q = (F.col(x) for x in ("d", "ln", "n", "p", "e", "em", "m", "q"))
-    wide = spread.join(other, ["w", "part"]).filter(_earlier(d, ln, e, em) & _near(nn, p, m, q)).select("d", "ln", "e", "em", _need(nn, m).alias("need"))
-    known = found.filter("kind = 0").select("d", "ln", "e", "em", "need").join(rest.select("d", "ln").distinct(), ["d", "ln"], "left_semi")
-    second = materialise(_enough(known.union(wide)).join(first, ["d", "ln", "e", "em"], "left_anti"))
-    gone = materialise(done.union(_verified(docs, second, ranks)))
-    verdict = firsts.join(gone.withColumn("gone", F.lit(True)), ["d", "ln"], "left").select("c1", "c2", F.col("d").alias("fd"), F.col("ln").alias("fl"), "gone")
-    later = _earlier(F.col("d"), F.col("ln"), F.col("fd"), F.col("fl"))
-    return every.select("d", "ln", "c1", "c2").join(verdict, ["c1", "c2"]).filter(later | F.coalesce("gone", F.lit(False))).select("d", "ln").distinct()
+    firsts = every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln", "n", "b0", "b1", "prefix")).alias("s")).select("s.*")
+    rows = firsts.select("d", "ln", "n", "b0", "b1", F.size("prefix").alias("held"), F.posexplode("prefix").alias("p", "w"))
+    rows = rows.filter(F.col("w").isNotNull() & (F.col("p") < F.col("held") - 1) & (F.col("w") >= F.lit(1 << KEPT)))
+    part = F.when(_parts(F.col("w")) > 1, F.pmod(F.xxhash64("d", "ln"), _parts(F.col("w"))).cast("int")).otherwise(-1)
+    rows = rows.select("w", part.alias("part"), "d", "ln", "n", (F.col("p") + 1).alias("p"), "b0", "b1").filter(F.col("part").isNotNull())
+    dealt = rows.repartition(partitions(every), "w", "part").withColumn("g", F.count("*").over(Window.partitionBy("w", "part")))
+    large = (F.col("g") > GROUP) | (F.col("part") >= 0)
+    small = dealt.filter((F.col("g") > 1) & ~large)
+    none = {c: F.lit(None) for c in ("e", "em", "far", "w", "n", "p", "b0", "b1")}
+    order = lambda kind, df: df.withColumns({c: x for c, x in none.items() if c not in df.columns}).select(F.lit(kind).alias("kind"), "d", "ln", *none)
+    pairs = order(0, _pairs(small, small, ["w", "part"], 1))
+    return pairs.unionByName(order(1, dealt.filter(large))).unionByName(order(2, firsts.select("d", "ln")))
+
+
+def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """d, ln, h: the full sets of all lines in pairs.
+
+    A filter of fixed size stands before anything is shuffled; where there are more lines than it tells apart, those that
+    pass by chance are left out by a join.
+    """
+    named = pairs.select("d", "ln").union(pairs.select("e", "em")).distinct()
+    sets = _lines(docs).filter(_may_hold(_id_filter(named, "d", "ln"), "d", "ln")).select("d", "ln", _hashes(F.col("line")).alias("h"))
+    return sets.join(named, ["d", "ln"], "left_semi") if named.count() > FILTER_WORDS * 8 else sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """d, ln of lines that have a pair (d, ln) with an earlier (e, em) of at least that similarity."""
+    both = pairs.join(sets.withColumnRenamed("h", "hx"), ["d", "ln"]).join(sets.select(F.col("d").alias("e"), F.col("ln").alias("em"), F.col("h").alias("hy")), ["e", "em"])
+    common = F.size(F.array_intersect("hx", "hy"))
+    return both.filter(9 * common >= 4 * (F.size("hx") + F.size("hy"))).select("d", "ln").distinct()
+
+
+def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """d, ln of lines with a verified pair: the nearest partner of each line first, then all of the lines it doesn't settle."""
+    sets = tables.settle(_needed(docs, pairs))
+    nearest = pairs.groupBy("d", "ln").agg(F.min(F.struct("far", "e", "em")).alias("s")).select("d", "ln", "s.e", "s.em")
+    first = tables.settle(_verified(nearest, sets))
+    rest = pairs.join(first, ["d", "ln"], "left_anti").select("d", "ln", "e", "em").distinct()
+    out = tables.settle(first.union(_verified(rest, sets)))
+    tables.drop(sets, first)
+    return out
+
+
+def _refined(large: DataFrame, every: DataFrame) -> DataFrame:
+    """Rows of larger groups for each two of their words: w, v, and what _ROW names, with v's place."""
+    prefixes = every.select("d", "ln", "prefix").join(large.select("d", "ln").distinct(), ["d", "ln"], "left_semi").distinct()
+    both = large.join(prefixes, ["d", "ln"]).select("w", "d", "ln", "n", "b0", "b1", F.col("p").alias("own"), F.posexplode("prefix").alias("p", "v"))
+    return both.filter(F.col("p") >= F.col("own")).withColumn("p", F.col("p") + 1).select("w", "v", *_ROW)
+
+
+def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """d, ln of all lines with words; d, ln of those that stay."""
+    every = tables.settle(_sets(docs))
+    found = tables.settle(_met(every.filter("n > 0")))
+    pairs, large = found.filter("kind = 0").select("d", "ln", "e", "em", "far"), found.filter("kind = 1").select("w", *_ROW)
+    matched = None
+    if not large.isEmpty():
+        leaders = large.groupBy("w").agg(F.min(F.struct(*_ROW)).alias("s")).select("w", "s.*")
+        pairs = tables.settle(pairs.union(_pairs(large, leaders, ["w"], 1)))
+    done = _matched(tables, docs, pairs)
+    if not large.isEmpty():
+        refined = tables.settle(_refined(large, every))
+        rest = refined.join(done, ["d", "ln"], "left_anti")
+        matched = _matched(tables, docs, tables.settle(_pairs(rest, refined, ["w", "v"], 2).distinct()))
+    gone = done if matched is None else done.union(matched)
+    return every.filter("n > 0").select("d", "ln"), found.filter("kind = 2").select("d", "ln").join(gone, ["d", "ln"], "left_anti")
+
+
+def _removed(docs: DataFrame) -> DataFrame:
+    """d and the numbers of the lines that go, in a table that stays."""
+    with Tables(docs.sparkSession) as tables:
+        lines, kept = _gone(tables, docs)
+        return tables.keep(lines.join(kept, ["d", "ln"], "left_anti").groupBy("d").agg(F.collect_set("ln").alias("lns")))
 
 
 def _with_removed(docs: DataFrame) -> DataFrame:
@@ -190,7 +217,7 @@ def _with_removed(docs: DataFrame) -> DataFrame:
 
     Only documents that pass a filter of fixed size on the ids with removed lines are joined; all others go straight on.
     """
-    gone = materialise(later_matches(docs).groupBy("d").agg(F.collect_set("ln").alias("lns")))
+    gone = _removed(docs)
     rows = docs.select(lowest_id().alias("d"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     bits = _id_filter(gone, "d")
     touched = rows.filter(_may_hold(bits, "d")).join(gone, "d", "left")
