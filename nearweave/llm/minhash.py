@@ -16,8 +16,9 @@
 
 Defined results: null texts and texts without words have no shingles, belong to no class and are linked with nothing;
 texts with fewer words than a shingle have one shingle, the whole sequence; rows with one doc_id count as one document in
-links (each row is returned); rows with a null doc_id are returned unlinked; an empty table gives an empty table; other
-columns are ignored.
+links, whichever of their texts is linked (each row is returned); rows with a null doc_id are returned unlinked; an empty
+table gives an empty table; other columns are ignored. ``one_of_each`` keeps one row of each group, of repeated rows
+(equal in doc_id and set) and of rows without doc_id and with equal sets, if no document with a doc_id has that set.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_texts, gram_hashes, lower_ascii, materialise, mix, partitions, passes, raw, word_hashes, words
+from ..plans.tables import Tables
+from .common import LOWEST, U64, doc_texts, gram_hashes, lowest_id, lower_ascii, mix, partitions, passes, raw, word_hashes, words
 from .components import connected_components
 
 #: Shingles of a cluster that meet in one task, at most.
@@ -277,7 +279,7 @@ def _confirmed(docs: DataFrame, members: DataFrame, k: int, share: tuple[int, in
         now = None
 
         def close():
-            ids, bodies = zip(*dict(held).items()) if held else ((), ())
+            ids, bodies = zip(*dict.fromkeys(held))  # one doc_id may have several sets
             bounds = np.concatenate([[0], np.cumsum([len(x) // 8 for x in bodies])]).astype(np.int64)
             edges = linked(np.array(ids), np.frombuffer(b"".join(bodies), np.uint64), bounds, share) if len(ids) > 1 else []
             us, vs = zip(*edges) if edges else ((), ())
@@ -298,34 +300,56 @@ def _confirmed(docs: DataFrame, members: DataFrame, k: int, share: tuple[int, in
     return texts.repartition(partitions(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, share: tuple[int, int] = (85, 100), bands: int = 24, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
-
-    Bands of 24 x 5 miss a pair at the threshold 0.85 with a chance below 1e-6; take more and shorter bands for lower
-    thresholds (30 x 4 at 0.8: below 1e-6).
-    """
-    sketched = materialise(sketch(docs, k, bands * rows))
+def _grouped(tables: Tables, docs: DataFrame, k: int, share: tuple[int, int], bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of the run: doc_id, n, s1, s2 of every row; and with component, the least doc_id reachable, of every set."""
+    sketched = tables.settle(sketch(docs, k, bands * rows))
     known = sketched.filter("n > 0 and doc_id is not null")
-    classes = materialise(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    classes = tables.settle(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     alone = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
     reps = known.join(alone, ["doc_id", "n", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sig")
     least = share[0] / share[1] - MARGIN
-    shared = materialise(_shared(_bands(reps, bands, rows)))
-    clusters = materialise(connected_components(_estimated(_stars(shared), reps, least)).withColumnsRenamed({"node": "id", "component": "cluster"}))
-    between = _between(shared, clusters, reps, least, share)
-    clusters = connected_components(clusters.toDF("u", "v").union(between)).withColumnsRenamed({"node": "id", "component": "cluster"})
-    members = materialise(reps.select("id", "n").join(clusters, "id"))
+    shared = tables.settle(_shared(_bands(reps, bands, rows)))
+    named = lambda edges: connected_components(edges, tables).withColumnsRenamed({"node": "id", "component": "cluster"})
+    clusters = named(_estimated(_stars(shared), reps, least))
+    clusters = named(clusters.toDF("u", "v").union(_between(shared, clusters, reps, least, share)))
+    tables.drop(shared)
+    members = tables.settle(reps.select("id", "n").join(clusters, "id"))
     # Rows of one doc_id are one document: the classes it belongs to are linked through it.
     through = known.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id").join(known, "doc_id").join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = _confirmed(docs, members, k, share).union(through.filter("u <> v"))
-    components = connected_components(edges).withColumnsRenamed({"node": "rep"})
-    out = sketched.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(components, "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    components = connected_components(edges, tables).withColumnRenamed("node", "rep")
+    return sketched.select("doc_id", "n", "s1", "s2"), classes.join(components, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, share: tuple[int, int] = (85, 100), bands: int = 24, rows: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Bands of 24 x 5 miss a pair at the threshold 0.85 with a chance below 1e-6; take more and shorter bands for lower
+    thresholds (30 x 4 at 0.8: below 1e-6).
+    """
+    with Tables(docs.sparkSession) as tables:
+        every, sets = _grouped(tables, docs, k, share, bands, rows)
+        component = F.coalesce("component", "doc_id")
+        out = every.join(sets, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        return tables.keep(out)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), bands: int = 30, rows: int = 4) -> DataFrame:
     """The documents, with all their columns, without those that belong to a group with a smaller doc_id."""
-    found = near_duplicates(docs, k, share, bands, rows)
-    dropped = materialise(found.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    spark = docs.sparkSession
+    named = docs.select(lowest_id().alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    with Tables(spark) as tables:
+        every, sets = _grouped(tables, docs, k, share, bands, rows)
+        found = every.filter("doc_id is not null").join(sets, ["n", "s1", "s2"])
+        dropped = tables.keep(found.filter("doc_id <> component").select(F.col("doc_id").alias("d")).distinct())
+        # Rows that share a doc_id, or have none, are told apart by their sets; there are few of them, if any.
+        again = tables.keep(every.groupBy(F.coalesce("doc_id", F.lit(LOWEST)).alias("d")).agg(F.count("*").alias("c")).filter(f"c > 1 or d = {LOWEST}").select("d"))
+        single = named.join(dropped, "d", "left_anti")
+        if again.isEmpty():
+            return single.select("row.*")
+        several = tables.settle(single.join(again, "d", "left_semi").withColumn("at", F.monotonically_increasing_id()))
+        told = sketch(several.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), k, 1).withColumnRenamed("doc_id", "at")
+        told = several.select("d", "at").join(told, "at").join(sets.select("n", "s1", "s2", F.lit(True).alias("held")), ["n", "s1", "s2"], "left")
+        told = told.filter((F.col("d") != LOWEST) | F.col("held").isNull())
+        first = told.groupBy("d", "n", "s1", "s2").agg(F.min("at").alias("at"))
+        return single.join(again, "d", "left_anti").select("row.*").unionByName(tables.keep(several.join(first.select("at"), "at", "left_semi").select("row.*")))

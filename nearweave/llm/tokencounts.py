@@ -28,8 +28,11 @@ BLOCK = 1 << 18
 def flat_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK) -> DataFrame:
     """file, block, ids (binary); rows with a negative block list the file's doc_ids (binary) in order instead.
 
-    One file for each input partition. Ids are little-endian, unsigned, of two bytes; end_id must not occur in texts.
+    One file for each input partition. Ids are little-endian, unsigned, of two bytes: a vocabulary with larger ids is an
+    error, and so is a text that holds end_id.
     """
+    if not 0 <= end_id < 1 << 16:
+        raise ValueError("flat files hold ids of two bytes")
 
     def run(batches):
         c, file = codec(path), TaskContext.get().partitionId()
@@ -38,6 +41,8 @@ def flat_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK) -> D
         for batch in batches:
             for texts in text_passes(batch.column(1)):
                 ids, bounds, _, _ = c.encode(texts)
+                if len(ids) and (ids.max() >= 1 << 16 or (ids == end_id).any()):
+                    raise ValueError("an id doesn't fit into two bytes, or is the separator's")
                 stream = np.full(len(ids) + len(texts), end_id, np.uint16)
                 keep = np.ones(len(stream), bool)
                 keep[bounds[1:] + np.arange(len(texts))] = False
