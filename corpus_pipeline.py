@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearweave.llm import lines, minhash, packing, quality, substring
-from nearweave.llm.common import materialise, read_table
+from nearweave.llm.common import read_table
+from nearweave.plans.tables import Tables
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,27 +22,48 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts, by a score of at least 0.7.
+
+    Null and empty texts are scored as empty; repeated rows stay or go together; without usable labels every score is 0.5
+    and no document stays; an empty table gives an empty table; other columns are carried, whatever their names.
+    """
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are similar to an earlier one."""
+    """Documents without lines that are similar to an earlier one; a document that loses all its lines has an empty text.
+
+    A null text stays null; lines without words stay; rows with one doc_id are one place in the order and lose the same
+    lines; a null doc_id comes first; an empty table gives an empty table; n_chars follows the text, other columns are
+    carried, whatever their names.
+    """
     return _counted(lines.rewrite(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more.
+
+    Texts that are null or without words are in no group and stay; of repeated rows one stays; rows without doc_id stay
+    once for each set that no document with a doc_id has; an empty table gives an empty table; other columns are carried.
+    """
     return minhash.one_of_each(docs, k=5, share=(80, 100))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 20 or more words that start earlier."""
+    """Documents without passages of 20 or more words that start earlier; changed texts are their kept words and blanks.
+
+    Null and empty texts stay as they are; rows equal in doc_id and text are one document; a null doc_id comes first; an
+    empty table gives an empty table; n_chars follows the text, other columns are carried, whatever their names.
+    """
     return _counted(substring.rewrite(docs))
 
 
 def concat_and_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of the kept texts in windows of 2048 tokens."""
+    """Boundary records of the kept texts in windows of 2048 tokens.
+
+    A null or empty text is its end token; repeated rows are packed each; rows without doc_id have records without doc_id;
+    an empty table gives an empty table; columns but doc_id and text are ignored.
+    """
     return packing.concat_and_cut(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -57,10 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again before the next stage."""
+    """All stages over documents; each result is written and read again before the next stage, and deleted after it."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    with Tables(spark) as tables:
+        for i, (_, stage) in enumerate(STAGES):
+            last, docs = docs, tables.settle(stage(spark, docs, sf_dir))
+            if i:
+                tables.drop(last)
+        return tables.keep(docs)

@@ -49,7 +49,12 @@ def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
 
 
 class Tables:
-    """Intermediate tables of one run. Leaving the block deletes all but those that were kept."""
+    """Intermediate tables of one run. Leaving the block deletes all but those that were kept.
+
+    What a run inside another one keeps belongs to the outer run, and goes with it.
+    """
+
+    _open: list[Tables] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -58,9 +63,11 @@ class Tables:
         self._frames: list[DataFrame] = []
 
     def __enter__(self) -> Tables:
+        Tables._open.append(self)
         return self
 
     def __exit__(self, *_) -> None:
+        Tables._open.remove(self)
         delete(self.spark, self.root)
 
     def settle(self, df: DataFrame) -> DataFrame:
@@ -76,8 +83,9 @@ class Tables:
             delete(self.spark, self._paths.pop(id(df)))
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """The rows in a table of its own, which stays: what a returned frame may read."""
-        return settle(df)
+        """The rows in a table that outlives this run: what a returned frame may read."""
+        outer = Tables._open[Tables._open.index(self) - 1] if Tables._open.index(self) else None
+        return outer.settle(df) if outer else _written(df, shared_path(self.spark))[0]
 
 
 def _written(df: DataFrame, path: str) -> tuple[DataFrame, str]:
@@ -88,5 +96,5 @@ def _written(df: DataFrame, path: str) -> tuple[DataFrame, str]:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows, written to a fresh table in the shared folder and read again."""
-    return _written(df, shared_path(df.sparkSession))[0]
+    """The rows in a table of the run that is open, or else in one that stays."""
+    return Tables._open[-1].settle(df) if Tables._open else _written(df, shared_path(df.sparkSession))[0]
