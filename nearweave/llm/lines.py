@@ -9,7 +9,7 @@ number) has a Jaccard similarity of at least 4/5 with it, whether or not that on
 3. Prefix filter: two sets with that similarity share a word among their rarest n - ceil(4n/5) + 1. A row for each of
    these words is dealt by word, and by a salt as well where the word may occur in more than FREQUENT rows. Lines of up to
    three words have no partners but equal ones; words of buckets with one occurrence meet nothing and aren't dealt.
-4. In a word's group of up to GROUP rows every row meets the earlier ones, behind the length filter, the positional filter
+4. In a word's group of up to GROUP rows every row meets the shorter ones, behind the length filter, the positional filter
    and a bitmap filter: the parities of a set's word hashes in 128 places differ in no more places than the sets do.
 5. Rows of larger or salted groups meet the group's first row. Those without an earlier match so far are dealt again by two
    words, the group's and a later one of the prefix, which is longer by one word for that; similar sets share both.
@@ -25,6 +25,8 @@ comes before all others; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ GROUP = 256
 FREQUENT = 1_000_000
 #: A word is its rarity (a third of a power of two) on top of these bits of its hash.
 KEPT = 56
-#: Bits of the fixed-size filters on ids: 64 in each of so many longs; they tell apart an eighth as many ids.
-FILTER_WORDS = 1 << 17
+#: The filters on ids have 64 bits in each of 2 ** FILTER longs, and tell apart an eighth as many ids.
+FILTER = 19
 
 
 def _words(line: Column) -> Column:
@@ -50,24 +52,37 @@ def _words(line: Column) -> Column:
     return F.when(other, F.split(line, SEPARATOR)).otherwise(F.split(line, " "))
 
 
-def _hashes(line: Column) -> Column:
-    """Distinct word hashes of a line."""
-    return F.array_except(F.transform(_words(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+def _set(line: Column, place: Callable[[Column], Column]) -> Column:
+    """Distinct places of a line's words."""
+    return F.array_distinct(F.array_remove(F.transform(_words(line), place), place(F.lit(""))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, ln, line."""
-    return docs.select(lowest_id().alias("d"), F.posexplode(F.split(F.col("text"), "\n")).alias("ln", "line"))
+    """d, ln, line of lines that aren't blank."""
+    lines = docs.select(lowest_id().alias("d"), F.posexplode(F.split(F.col("text"), "\n")).alias("ln", "line"))
+    return lines.filter(F.trim("line") != "")
+
+
+def _constant(values: DataFrame, value: Column, bits: int) -> Column:
+    """One array of 2 ** bits longs from a table with a row (k long, value) for every place k: blocks first, then the whole."""
+    blocks = values.groupBy(F.shiftright("k", bits // 2).alias("h")).agg(F.sort_array(F.collect_list(F.struct("k", value.alias("x")))).alias("x"))
+    blocks = blocks.select("h", F.transform("x", lambda x: x["x"]).alias("x"))
+    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda x: x["x"])).alias("x")).scalar()
+
+
+def _zeros(docs: DataFrame, bits: int) -> DataFrame:
+    """k and 0 for every place."""
+    return docs.sparkSession.range(1 << bits).select(F.col("id").alias("k"), F.lit(0).cast("long"))
 
 
 def _rarities(docs: DataFrame) -> Column:
-    """A constant array with each bucket's rarity, floor(3 * log2(count)), in the place it has in a word."""
-    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("b"), F.lit(1).alias("c"))
-    every = words.union(docs.sparkSession.range(BUCKETS).select("id", F.lit(0))).groupBy("b").agg(F.sum("c").alias("c"))
+    """For each bucket, what turns its bits on top of a hash into the bucket's rarity, floor(3 * log2(count)), by xor."""
+    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
+    words = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("k"), F.lit(1).cast("long").alias("c"))
+    every = words.union(_zeros(docs, BITS)).groupBy("k").agg(F.sum("c").alias("c"))
     rarity = F.least(F.floor(3 * F.log2(F.greatest("c", F.lit(1)))), F.lit(126)).cast("long")
-    blocks = every.groupBy(F.shiftright("b", BITS // 2).alias("h")).agg(F.sort_array(F.collect_list(F.struct("b", F.shiftleft(rarity, KEPT).alias("r")))).alias("x"))
-    blocks = blocks.select("h", F.transform("x", lambda x: x["r"]).alias("x"))  # as many rows as a block has buckets
-    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda x: x["x"])).alias("r")).scalar()
+    turn = F.shiftright("k", BITS + KEPT - 64).bitwiseXOR(rarity)
+    return _constant(every, F.shiftleft(turn, KEPT), BITS)
 
 
 def _parts(word: Column) -> Column:
@@ -76,38 +91,55 @@ def _parts(word: Column) -> Column:
     return F.when(rarity >= 3 * (FREQUENT.bit_length() - 1), F.ceil(F.pow(F.lit(2.0), (rarity + 1) / 3) / FREQUENT).cast("int")).otherwise(1)
 
 
+def _bits(half: int) -> Column:
+    """Parities of the words of a set in 64 of 128 places."""
+    place = F.array(*(F.lit(1 << i - 64 * half if i // 64 == half and i % 64 < 63 else -(1 << 63) if i // 64 == half else 0).cast("long") for i in range(128)))
+    return F.aggregate("a", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.get(place, h.bitwiseAND(F.lit(127).cast("long")).cast("int"))))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """Every line with words: d, ln, digest c1 and c2 of its set, n, bitmaps b0 and b1, prefix from rare to common."""
-    placed = lambda h: F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << KEPT) - 1)))
-    bits = lambda half: F.aggregate("a", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.when(half(h), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))).otherwise(F.lit(0).cast("long"))))
-    lines = _lines(docs).filter(F.trim("line") != "").select("d", "ln", _hashes(F.col("line")).alias("h"))
-    lines = lines.withColumn("r", _rarities(docs)).select("d", "ln", F.sort_array(F.transform("h", placed)).alias("a"))
+    """Lines: d, ln, digest c1 and c2 of the set, n, bitmaps b0 and b1, prefix from rare to common."""
+    placed = lambda w: F.xxhash64(w).bitwiseXOR(F.get("r", F.shiftrightunsigned(F.xxhash64(w), 64 - BITS).cast("int")))
+    lines = _lines(docs).withColumn("r", _rarities(docs))
+    lines = lines.select("d", "ln", F.sort_array(_set(F.col("line"), placed)).alias("a"))
     n = F.size("a")
     prefix = F.when(n > 3, F.slice("a", 1, n - F.ceil(n * 4 / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
-    side = lambda h: h.bitwiseAND(F.lit(64).cast("long"))
-    return lines.select(
-        "d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64(F.lit(1), "a").alias("c2"), n.alias("n"),
-        bits(lambda h: side(h) == 0).alias("b0"), bits(lambda h: side(h) != 0).alias("b1"), prefix.alias("prefix"),
-    )
+    return lines.select("d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64(F.lit(1), "a").alias("c2"), n.alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), prefix.alias("prefix"))
+
+
+def _bit(columns: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(64 << FILTER))
 
 
 def _id_filter(ids: DataFrame, *columns: str) -> Column:
-    """64 bits in each of a fixed number of longs: bits of the ids' hashes. Ids that aren't there may pass, too."""
-    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
-    words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
-    every = ids.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "w").join(words, "w", "left")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("f")).scalar()
+    """Bits of the ids' hashes in a fixed number of longs. Ids that aren't there may pass, too."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = ids.select(F.shiftright(_bit(columns), 6).alias("k"), bit.alias("x")).union(_zeros(ids, FILTER))
+    return _constant(words.groupBy("k").agg(F.bit_or("x").alias("x")), F.col("x"), FILTER)
 
 
 def _may_hold(bits: Column, *columns: str) -> Column:
-    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
-    return F.bit_get(F.element_at(bits, F.shiftright(bit, 6).cast("int") + 1), bit.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+    return F.bit_get(F.element_at(bits, F.shiftright(_bit(columns), 6).cast("int") + 1), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with d and ln that ids hold, and few others: a filter of fixed size stands before anything is shuffled.
+
+    Where there are more ids than it tells apart, a join leaves the others out.
+    """
+    passed = rows.filter(_may_hold(_id_filter(ids, "d", "ln"), "d", "ln"))
+    return passed.join(ids, ["d", "ln"], "left_semi") if ids.count() > 8 << FILTER else passed
 
 
 def _earlier(d: Column, ln: Column, e: Column, em: Column) -> Column:
     return (e < d) | (e == d) & (em < ln)
 
 
+def _after() -> Column:
+    """x stands after y."""
+    return _earlier(*(F.col(c) for c in ("x.d", "x.ln", "y.d", "y.ln")))
+
+
 def _similar(shared: int) -> Column:
     """The filters on a pair of rows of x and y that share ``shared`` words up to their places p: length, position, bitmap."""
     n, m, p, q = (F.col(x) for x in ("x.n", "y.n", "x.p", "y.p"))
@@ -121,45 +153,33 @@ def _far() -> Column:
     return F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
 
 
-def _pairs(x: DataFrame, y: DataFrame, keys: list[str], shared: int) -> DataFrame:
-    """d, ln, e, em, far of pairs of a line (of x) and an earlier one (of y) that share the keys and pass the filters."""
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    met = x.alias("x").join(y.alias("y"), [*same, _earlier(F.col("x.d"), F.col("x.ln"), F.col("y.d"), F.col("y.ln")), _similar(shared)])
-    return met.select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far"))
-
-
 _ROW = ["d", "ln", "n", "p", "b0", "b1"]
 
 
-def _met(every: DataFrame) -> DataFrame:
-    """One table with three kinds of rows, from one dealing by class and one by word.
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs of a line (d, ln) and an earlier one (e, em) with far; and rows of large groups (_ROW, with e where the first fits).
 
-    kind 0: a pair (d, ln, e, em, far) from a small group; kind 1: a row of a larger group (w and what _ROW names);
-    kind 2: a class's first line (d, ln).
+    In a small group the longer line meets the shorter ones that have the word among their rarest m - ceil(8m/9) + 1, as two
+    sets with that similarity share 8/9 of the shorter one. In a large group every row meets the first document's.
     """
-    firsts = every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln", "n", "b0", "b1", "prefix")).alias("s")).select("s.*")
-    rows = firsts.select("d", "ln", "n", "b0", "b1", F.size("prefix").alias("held"), F.posexplode("prefix").alias("p", "w"))
-    rows = rows.filter(F.col("w").isNotNull() & (F.col("p") < F.col("held") - 1) & (F.col("w") >= F.lit(1 << KEPT)))
-    part = F.when(_parts(F.col("w")) > 1, F.pmod(F.xxhash64("d", "ln"), _parts(F.col("w"))).cast("int")).otherwise(-1)
-    rows = rows.select("w", part.alias("part"), "d", "ln", "n", (F.col("p") + 1).alias("p"), "b0", "b1").filter(F.col("part").isNotNull())
-    dealt = rows.repartition(partitions(every), "w", "part").withColumn("g", F.count("*").over(Window.partitionBy("w", "part")))
-    large = (F.col("g") > GROUP) | (F.col("part") >= 0)
-    small = dealt.filter((F.col("g") > 1) & ~large)
-    none = {c: F.lit(None) for c in ("e", "em", "far", "w", "n", "p", "b0", "b1")}
-    order = lambda kind, df: df.withColumns({c: x for c, x in none.items() if c not in df.columns}).select(F.lit(kind).alias("kind"), "d", "ln", *none)
-    pairs = order(0, _pairs(small, small, ["w", "part"], 1))
-    return pairs.unionByName(order(1, dealt.filter(large))).unionByName(order(2, firsts.select("d", "ln")))
-
-
-def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """d, ln, h: the full sets of all lines in pairs.
-
-    A filter of fixed size stands before anything is shuffled; where there are more lines than it tells apart, those that
-    pass by chance are left out by a join.
-    """
-    named = pairs.select("d", "ln").union(pairs.select("e", "em")).distinct()
-    sets = _lines(docs).filter(_may_hold(_id_filter(named, "d", "ln"), "d", "ln")).select("d", "ln", _hashes(F.col("line")).alias("h"))
-    return sets.join(named, ["d", "ln"], "left_semi") if named.count() > FILTER_WORDS * 8 else sets
+    words = rows.select("d", "ln", "n", "b0", "b1", F.size("prefix").alias("held"), F.posexplode("prefix").alias("p", "w"))
+    words = words.filter((F.col("p") < F.col("held") - 1) & (F.col("w") >= F.lit(1 << KEPT)))
+    parts, p = _parts(F.col("w")), F.col("p") + 1
+    salted = F.xxhash64("w", F.pmod(F.xxhash64("d", "ln"), parts))
+    # One long as the key, so that rows are sorted by radix; rows of salted groups have negative places.
+    words = words.select(F.when(parts > 1, salted).otherwise(F.col("w")).alias("k"), "d", "ln", "n", F.when(parts > 1, -p).otherwise(p).alias("p"), "b0", "b1").filter("k is not null")
+    group = Window.partitionBy("k")
+    dealt = words.repartition(partitions(rows), "k").withColumns({"g": F.count("*").over(group), "f": F.min("d").over(group)})
+    dealt = dealt.withColumn("large", (F.col("g") > GROUP) | (F.col("p") < 0)).filter((F.col("g") > 1) | F.col("large")).withColumn("p", F.abs("p"))
+    index = F.col("n") - F.ceil(F.col("n") * 8 / 9).cast("int") + 1
+    other = dealt.filter(F.when(F.col("large"), F.col("d") == F.col("f")).otherwise(F.col("p") <= index))
+    large, longer = F.col("y.large"), (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & _after()
+    elsewhere = (F.col("x.d") != F.col("y.d")) | (F.col("x.ln") != F.col("y.ln"))
+    met = dealt.alias("x").join(other.alias("y"), (F.col("x.k") == F.col("y.k")) & (large | longer & elsewhere & _similar(1)))
+    places = lambda x, y: F.struct(f"{x}.d", f"{x}.ln", F.col(f"{y}.d").alias("e"), F.col(f"{y}.ln").alias("em"))
+    later, fits = F.when(_after() | large, places("x", "y")).otherwise(places("y", "x")), ~large | _after() & _similar(1)
+    met = met.select(later.alias("o"), fits.alias("fits"), _far().alias("far"), large.alias("large"), *(F.when(large, F.col(f"x.{c}")).alias(c) for c in ("n", "p", "b0", "b1")))
+    return met.select("o.d", "o.ln", F.when(F.col("fits"), F.col("o.e")).alias("e"), F.when(F.col("fits"), F.col("o.em")).alias("em"), "far", "large", "n", "p", "b0", "b1")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,38 +191,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """d, ln of lines with a verified pair: the nearest partner of each line first, then all of the lines it doesn't settle."""
-    sets = tables.settle(_needed(docs, pairs))
+    named = tables.settle(pairs.select("d", "ln").union(pairs.select("e", "em")).distinct())
+    sets = tables.settle(_of(_lines(docs), named).select("d", "ln", _set(F.col("line"), lambda w: F.xxhash64(w)).alias("h")))
     nearest = pairs.groupBy("d", "ln").agg(F.min(F.struct("far", "e", "em")).alias("s")).select("d", "ln", "s.e", "s.em")
     first = tables.settle(_verified(nearest, sets))
     rest = pairs.join(first, ["d", "ln"], "left_anti").select("d", "ln", "e", "em").distinct()
     out = tables.settle(first.union(_verified(rest, sets)))
-    tables.drop(sets, first)
+    tables.drop(named, sets, first)
     return out
 
 
 def _refined(large: DataFrame, every: DataFrame) -> DataFrame:
-    """Rows of larger groups for each two of their words: w, v, and what _ROW names, with v's place."""
+    """Rows of large groups for each two of their words: w, v, and what _ROW names, with v's place."""
     prefixes = every.select("d", "ln", "prefix").join(large.select("d", "ln").distinct(), ["d", "ln"], "left_semi").distinct()
-    both = large.join(prefixes, ["d", "ln"]).select("w", "d", "ln", "n", "b0", "b1", F.col("p").alias("own"), F.posexplode("prefix").alias("p", "v"))
-    return both.filter(F.col("p") >= F.col("own")).withColumn("p", F.col("p") + 1).select("w", "v", *_ROW)
+    both = large.join(prefixes, ["d", "ln"]).select(F.get("prefix", F.col("p") - 1).alias("w"), "d", "ln", "n", "b0", "b1", F.col("p").alias("own"), F.posexplode("prefix").alias("p", "v"))
+    return both.filter(F.col("w").isNotNull() & (F.col("p") >= F.col("own"))).withColumn("p", F.col("p") + 1).select("w", "v", *_ROW)
 
 
 def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """d, ln of all lines with words; d, ln of those that stay."""
-    every = tables.settle(_sets(docs))
-    found = tables.settle(_met(every.filter("n > 0")))
-    pairs, large = found.filter("kind = 0").select("d", "ln", "e", "em", "far"), found.filter("kind = 1").select("w", *_ROW)
-    matched = None
-    if not large.isEmpty():
-        leaders = large.groupBy("w").agg(F.min(F.struct(*_ROW)).alias("s")).select("w", "s.*")
-        pairs = tables.settle(pairs.union(_pairs(large, leaders, ["w"], 1)))
-    done = _matched(tables, docs, pairs)
+    every = tables.settle(_sets(docs)).filter("n > 0")
+    firsts = tables.settle(every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln")).alias("s")).select("s.*").distinct())
+    found = tables.settle(_met(_of(every, firsts)))
+    pairs, large = found.filter("e is not null").select("d", "ln", "e", "em", "far"), found.filter("large").select(*_ROW).distinct()
+    gone = _matched(tables, docs, pairs)
     if not large.isEmpty():
         refined = tables.settle(_refined(large, every))
-        rest = refined.join(done, ["d", "ln"], "left_anti")
-        matched = _matched(tables, docs, tables.settle(_pairs(rest, refined, ["w", "v"], 2).distinct()))
-    gone = done if matched is None else done.union(matched)
-    return every.filter("n > 0").select("d", "ln"), found.filter("kind = 2").select("d", "ln").join(gone, ["d", "ln"], "left_anti")
+        rest = refined.join(gone, ["d", "ln"], "left_anti")
+        same = (F.col("x.w") == F.col("y.w")) & (F.col("x.v") == F.col("y.v"))
+        more = rest.alias("x").join(refined.alias("y"), same & _after() & _similar(2)).select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far"))
+        gone = gone.union(_matched(tables, docs, tables.settle(more.distinct())))
+    return every.select("d", "ln"), firsts.join(gone, ["d", "ln"], "left_anti")
 
 
 def _removed(docs: DataFrame) -> DataFrame:
