@@ -25,8 +25,6 @@ comes before all others; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +50,9 @@ def _words(line: Column) -> Column:
     return F.when(other, F.split(line, SEPARATOR)).otherwise(F.split(line, " "))
 
 
-def _set(line: Column, place: Callable[[Column], Column]) -> Column:
-    """Distinct places of a line's words."""
-    return F.array_distinct(F.array_remove(F.transform(_words(line), place), place(F.lit(""))))
+def _hashes(line: Column) -> Column:
+    """Distinct word hashes of a line."""
+    return F.array_except(F.transform(_words(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -99,9 +97,9 @@ def _bits(half: int) -> Column:
 
 def _sets(docs: DataFrame) -> DataFrame:
     """Lines: d, ln, digest c1 and c2 of the set, n, bitmaps b0 and b1, prefix from rare to common."""
-    placed = lambda w: F.xxhash64(w).bitwiseXOR(F.get("r", F.shiftrightunsigned(F.xxhash64(w), 64 - BITS).cast("int")))
-    lines = _lines(docs).withColumn("r", _rarities(docs))
-    lines = lines.select("d", "ln", F.sort_array(_set(F.col("line"), placed)).alias("a"))
+    placed = lambda h: h.bitwiseXOR(F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")))
+    # The array r stands in one place only, so that it becomes a constant there and never a part of rows.
+    lines = _lines(docs).withColumn("r", _rarities(docs)).select("d", "ln", F.sort_array(F.transform(_hashes(F.col("line")), placed)).alias("a"))
     n = F.size("a")
     prefix = F.when(n > 3, F.slice("a", 1, n - F.ceil(n * 4 / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
     return lines.select("d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64(F.lit(1), "a").alias("c2"), n.alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), prefix.alias("prefix"))
@@ -192,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """d, ln of lines with a verified pair: the nearest partner of each line first, then all of the lines it doesn't settle."""
     named = tables.settle(pairs.select("d", "ln").union(pairs.select("e", "em")).distinct())
-    sets = tables.settle(_of(_lines(docs), named).select("d", "ln", _set(F.col("line"), lambda w: F.xxhash64(w)).alias("h")))
+    sets = tables.settle(_of(_lines(docs), named).select("d", "ln", _hashes(F.col("line")).alias("h")))
     nearest = pairs.groupBy("d", "ln").agg(F.min(F.struct("far", "e", "em")).alias("s")).select("d", "ln", "s.e", "s.em")
     first = tables.settle(_verified(nearest, sets))
     rest = pairs.join(first, ["d", "ln"], "left_anti").select("d", "ln", "e", "em").distinct()
