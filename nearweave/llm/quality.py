@@ -1,10 +1,12 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages (runs of words; the whole text, whatever its length). Every passage is described by
-numbers from its bytes and words, encoded by a dense layer, weighted by gated attention (tanh and sigmoid branches) and
-summed; the score is a logistic function of the weighted passage representation. The model is fitted on the driver to a
-bounded sample of labelled documents (``sample`` of them, those whose hashed ids are smallest), whose passage numbers
-are computed on the executors; scoring is one pass over all documents without a shuffle.
+numbers from its bytes and words and by hashed counts of its character trigrams and word pairs, encoded by a dense layer,
+weighted by gated attention (tanh and sigmoid branches) and summed; the score is a logistic function of the weighted
+passage representation. The model is fitted on the driver to a bounded sample: at most ``sample`` labelled documents,
+those whose hashed ids are smallest, and of each at most TRAINED passages, evenly spread (scores take all); their numbers
+are computed on the executors. Training ends when the loss has settled. Scoring is one pass over all documents without a
+shuffle.
 
 Defined results: a null or empty text is a bag with one passage of no words and gets a score; repeated rows give repeated
 rows; an empty table gives an empty table; with labels of one kind only, or none, every score is that kind's share
@@ -19,13 +21,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PASS_BYTES, doc_texts, lower_ascii, passes, raw, word_hashes, words
+from .common import PASS_BYTES, U64, doc_texts, lower_ascii, passes, raw, word_hashes, words
+from .merging import ragged
 
 #: Labelled documents that the model is fitted to, at most.
 SAMPLE = 6000
 #: Words of a passage.
 PASSAGE = 64
-HIDDEN, GATES, EPOCHS = 24, 12, 160
+#: Passages of a document that the model is fitted to, at most.
+TRAINED = 32
+HIDDEN, GATES = 24, 12
+#: Training ends when SETTLED epochs lower the mean loss by less than a thousandth, or after EPOCHS.
+EPOCHS, SETTLED = 1000, 40
+#: Pull of the weights towards zero.
+DECAY = 1e-3
+#: Places of hashed trigrams, and of hashed word pairs.
+HASHED = 64
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -42,7 +53,26 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _SIGN &= ~(_STOP | _SHOUT | _BAR)
 _KINDS = (_UPPER, _LOWER, _DIGIT, _WIDE, _LINE, _STOP, _SHOUT, _BAR, _SIGN)
-WIDTH = len(_KINDS) + 8
+WIDTH = len(_KINDS) + 8 + 2 * HASHED
+
+
+def _hashed(code: np.ndarray, row: np.ndarray, rows: int, size: np.ndarray) -> np.ndarray:
+    """Signed counts of 32-bit codes in HASHED places of each row, by the root of the row's size."""
+    place = row * HASHED + (code >> np.uint32(20)).astype(np.int64) % HASHED
+    sign = np.where(code & np.uint32(1 << 15), 1.0, -1.0)
+    return np.bincount(place, sign, rows * HASHED).reshape(rows, HASHED) / np.sqrt(np.maximum(size, 1))[:, None]
+
+
+def _grams(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: np.ndarray, first_word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashed character trigrams and word pairs of passages at byte ``starts`` and words ``first_word``."""
+    rows, letters, pairs = len(starts), np.maximum(sizes - 2, 0), np.maximum(counts - 1, 0)
+    at = ragged(starts, letters)
+    code = body[at].astype(np.uint32) * np.uint32(0x9E3779B1) + body[at + 1].astype(np.uint32) * np.uint32(0x85EBCA77) + body[at + 2].astype(np.uint32) * np.uint32(0xC2B2AE3D)
+    code = (code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    word = ragged(first_word, pairs)
+    both = ((h[word] * U64(0x9E3779B97F4A7C15) ^ h[word + 1]) * U64(0xD6E8FEB86659FD93) >> U64(32)).astype(np.uint32)
+    index = np.arange(rows)
+    return np.concatenate([_hashed(code, np.repeat(index, letters), rows, letters), _hashed(both, np.repeat(index, pairs), rows, pairs)], 1)
 
 
 def passage_numbers(body: np.ndarray, offsets: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +84,8 @@ def passage_numbers(body: np.ndarray, offsets: np.ndarray, passage: int = PASSAG
     out = np.zeros((first[-1], WIDTH), np.float32)
     if not len(starts):
         return out, first
-    h = word_hashes(lower_ascii(body), starts, ends)
+    lower = lower_ascii(body)
+    h = word_hashes(lower, starts, ends)
     doc = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(len(starts)) - heads[doc]
     number = first[doc] + inside // passage
@@ -84,7 +115,7 @@ def passage_numbers(body: np.ndarray, offsets: np.ndarray, passage: int = PASSAG
     cols.append(np.add.reduceat((_SIGN | _SHOUT | _BAR)[tail].astype(np.float64), begin) / n)
     cols.append(np.add.reduceat(_UPPER[body[starts]].astype(np.float64), begin) / n)
     cols.append(np.log1p(n) / 4)
-    out[full] = np.stack(cols, 1)
+    out[full] = np.concatenate([np.stack(cols, 1), _grams(lower, a, z - a, h, begin, n.astype(np.int64))], 1)
     return out, first
 
 
@@ -118,7 +149,7 @@ class Model:
 
 
 def fit(numbers: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Full-batch Adam on the mean log loss, both kinds weighted alike in sum at most 3 to 1."""
+    """Full-batch Adam on the mean log loss until it has settled, both kinds weighted alike in sum at most 3 to 1."""
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, share)
@@ -131,8 +162,13 @@ def fit(numbers: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int =
     m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
     weight = np.where(labels == 1, 1.0, min(3.0, share / (1 - share)) if share > 0.5 else 1.0)
     weight /= weight.sum()
+    losses: list[float] = []
     for step in range(1, epochs + 1):
         f = model.forward(x, first)
+        p = np.clip(f["p"], 1e-9, 1 - 1e-9)
+        losses.append(float(-(weight * np.where(labels == 1, np.log(p), np.log(1 - p))).sum()))
+        if step > 2 * SETTLED and min(losses[-SETTLED:]) > min(losses[:-SETTLED]) - 1e-3:
+            break
         d = weight * (f["p"] - labels)
         dz = d[:, None] * w["o"]
         per = dz[f["bag"]]
@@ -145,7 +181,7 @@ def fit(numbers: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int =
         de = dh * (1 - f["h"] ** 2)
         grads = {"E": x.T @ de, "e": de.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "a": (f["t"] * f["s"]).T @ draw, "o": f["z"].T @ d, "b": np.array([d.sum()])}
         for k in w:
-            grad = grads[k] + 1e-5 * w[k]
+            grad = grads[k] + DECAY * w[k]
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad * grad
             w[k] -= 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -170,10 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             body, offsets = raw(batch.column(1))
             for a, b in passes(offsets, PASS_BYTES):
                 numbers, first = passage_numbers(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                data, at = numbers.tobytes(), (first * WIDTH * 4).tolist()
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([data[x:y] for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "quality", "numbers"])
-
-    rows = sorted(texts.mapInArrow(run, "doc_id long, quality int, numbers binary").toLocalIterator(), key=lambda r: (r.doc_id, r.numbers))
+                bags = []
+                for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
+                    bags.append(numbers[x:y] if y - x <= TRAINED else numbers[x + np.arange(TRAINED) * (y - x) // TRAINED])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "numbers"])
+
+    found = texts.mapInArrow(run, "doc_id long, quality int, numbers binary")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", "numbers")).alias("s")).select("doc_id", "s.*").toLocalIterator()  # one row for a doc_id
+    rows = sorted(rows, key=lambda r: r.doc_id)
     parts = [np.frombuffer(r.numbers, np.float32).reshape(-1, WIDTH) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     return fit(np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32), first, np.array([r.quality for r in rows], np.float64))
