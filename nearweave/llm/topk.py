@@ -4,7 +4,8 @@ Vectors become integers, floor(scale * x), and lie in a vertical layout: one row
 candidates accumulate dimension block by dimension block. After each, a candidate stays for a query only if its partial
 score plus the largest that the remaining dimensions can add (the product of both remaining norms, by Cauchy-Schwarz)
 reaches the query's k-th best score so far; survivors are compacted before the next block. Queries are met in blocks of
-bounded size: each is broadcast once and held against every candidate partition, which sends on k rows for each query.
+bounded size, one after the other: a block is broadcast, held against every candidate partition, which sends on k rows
+for each query, and released when its rows are written. So the candidates are read once for each block of queries.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as queries or candidates;
 candidates are those of the query's length; rows with the query's id are its own and are left out; a repeated query id
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are broadcast at once, and those that are met together by a block of candidates.
-QUERY_BLOCK, QUERY_TILE = 4096, 256
+from ..plans.tables import Tables
+
+#: Queries that are broadcast at once (by their bytes, too), and those that are met together by a block of candidates.
+QUERY_BLOCK, QUERY_BYTES, QUERY_TILE = 32768, 64 << 20, 256
 CANDIDATES = 4096
 DIMENSIONS = 16
 
@@ -41,6 +44,8 @@ class _Best:
     def __init__(self, n: int, k: int):
         self.score = np.full((n, k), -np.inf)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
+        #: Candidates that the bounds left out, by the number of dimensions they were known in.
+        self.left_out: dict[int, int] = {}
 
     def put(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.score[q], score]), np.concatenate([self.id[q], ids])
@@ -49,75 +54,70 @@ class _Best:
         self.score[q], self.id[q] = s[order], i[order]
 
 
-def _search(best: _Best, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
-    """Meet one block of candidates (row by row here) with all queries."""
+def _search(best: _Best, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, wide: bool = False) -> None:
+    """Meet one block of candidates (row by row here) with all queries; wide: sums are unbounded integers.
+
+    Bounds are doubles, with room for their rounding; sums are exact.
+    """
     width, k = queries.shape[1], best.score.shape[1]
     order = np.argsort(-(queries**2).sum(0), kind="stable")  # the dimensions that carry most mass come first
     vertical, turned = np.ascontiguousarray(rows[:, order].T), queries[:, order]
-    edges = [*range(0, width, DIMENSIONS), width]
     left = lambda x, axis: np.sqrt(np.flip(np.cumsum(np.flip(x * x, axis), axis), axis))
     mass, own = left(vertical, 0), left(turned, 1)
-    head = edges[min(2, len(edges) - 1)]
+    if wide:
+        whole = lambda x: np.array([[int(v) for v in r] for r in x], object)
+        vertical, turned = whole(vertical), whole(turned)
+    head = min(DIMENSIONS, width)
     for a in range(0, len(queries), QUERY_TILE):
-        tile = turned[a : a + QUERY_TILE]
-        partial = tile[:, :head] @ vertical[:head]
-        partial[query_ids[a : a + QUERY_TILE, None] == ids[None, :]] = -np.inf
+        partial = turned[a : a + QUERY_TILE, :head] @ vertical[:head]
         for q, sums in enumerate(partial, a):
             floor, at = best.score[q, -1], head
-            alive = np.arange(len(ids))
-            while True:
-                reach = sums + (own[q, at] * mass[at, alive] * (1 + 1e-9) + 1e-6 if at < width else 0)
-                keep = reach >= floor
-                keep &= sums > -np.inf
+            alive = np.flatnonzero(ids != query_ids[q])
+            sums = sums[alive]
+            while len(alive):
+                rough = sums.astype(np.float64)
+                room = own[q, at] * mass[at, alive] * (1 + 1e-9) + 1e-6 if at < width else 0
+                keep = rough + room + 1e-12 * np.abs(rough) >= float(floor) - 1e-12 * abs(float(floor)) if floor > -np.inf else np.ones(len(alive), bool)
+                best.left_out[at] = best.left_out.get(at, 0) + len(keep) - int(keep.sum())
                 alive, sums = alive[keep], sums[keep]
                 if at == width or not len(alive):
                     break
                 to = min(at + DIMENSIONS, width)
-                if floor == -np.inf and len(alive) > 4 * k:  # no floor yet: the best by half the mass give one
-                    some = np.argpartition(-sums, k - 1)[:k]
-                    full = sums[some] + turned[q, at:] @ vertical[at:, alive[some]]
-                    floor = full.min()
+                if floor == -np.inf and len(alive) > 4 * k:  # no floor yet: the best by what is known give one
+                    some = np.argpartition(-rough[keep], k - 1)[:k]
+                    floor = min(sums[some] + turned[q, at:] @ vertical[at:, alive[some]])
+                    continue
                 sums = sums + turned[q, at:to] @ vertical[at:to, alive]
                 at = to
+            if len(alive) > 8 * k:  # ties at the k-th score stay
+                least = np.partition(sums, len(sums) - k)[len(sums) - k] if not wide else sorted(sums)[-k]
+                alive, sums = alive[sums >= least], sums[sums >= least]
             if len(alive):
-                if len(alive) > 8 * k:  # ties at the k-th score stay
-                    least = np.partition(sums, len(sums) - k)[len(sums) - k]
-                    alive, sums = alive[sums >= least], sums[sums >= least]
                 best.put(q, sums, ids[alive])
 
 
-def _search_wide(best: _Best, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
-    """The same with unbounded integers, for components whose products doubles can't hold exactly."""
-    whole = lambda x: np.array([[int(v) for v in r] for r in x], object)
-    scores = whole(queries) @ whole(rows).T
-    for q in range(len(queries)):
-        other = ids != query_ids[q]
-        best.put(q, scores[q][other], ids[other])
-
-
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the id and the score of the k best candidates of every query."""
-    spark = vectors.sparkSession
     as_vector = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable("v") & (F.size("v") > 0))
     candidates, asked = as_vector(vectors), as_vector(queries).groupBy("id").agg(F.min("v").alias("v"))
-    widths = {r.w: r["count"] for r in asked.groupBy(F.size("v").alias("w")).count().collect()}
-    found = None
-    for width, n in sorted(widths.items()):
-        blocks = -(-n // QUERY_BLOCK)
-        for b in range(blocks):
-            mine = asked.filter((F.size("v") == width) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").collect()
-            if mine:
-                part = _against(spark, candidates.filter(F.size("v") == width), np.array([r.id for r in mine]), np.floor(np.array([r.v for r in mine], np.float64) * scale), k, scale)
-                found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
-
-
-def _against(spark, candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, scale: int) -> DataFrame:
-    """k best of each candidate partition for one block of queries."""
-    held = spark.sparkContext.broadcast((query_ids, queries))
+    with Tables(vectors.sparkSession) as tables:
+        asked = tables.settle(asked)
+        found = vectors.sparkSession.createDataFrame([], "query_id long, id long, score long")
+        for width, n in sorted((r.w, r["count"]) for r in asked.groupBy(F.size("v").alias("w")).count().collect()):
+            blocks = -(-n // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * width))))
+            for b in range(blocks):
+                mine = asked.filter((F.size("v") == width) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").toArrow()
+                if mine.num_rows:
+                    part = _against(tables, candidates.filter(F.size("v") == width), np.asarray(mine.column("id")), _matrix(mine.column("v").combine_chunks(), width, scale), k, scale)
+                    found = found.unionByName(part)
+        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return tables.keep(found.select("query_id", "rank", F.col("id").alias(id_column), "score"))
+
+
+def _against(tables: Tables, candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, scale: int) -> DataFrame:
+    """k best of each candidate partition for one block of queries, in a table of the run."""
+    held = tables.spark.sparkContext.broadcast((query_ids, queries))
 
     def run(batches):
         query_ids, queries = held.value
@@ -130,10 +130,12 @@ def _against(spark, candidates: DataFrame, query_ids: np.ndarray, queries: np.nd
                 rows, ids = _matrix(piece.column(1), width, scale), np.array(piece.column(0))
                 if not wide and most * np.abs(rows).max() * width >= 2**53:
                     best.score, wide = best.score.astype(object), True
-                (_search_wide if wide else _search)(best, queries, query_ids, rows, ids)
+                _search(best, queries, query_ids, rows, ids, wide)
         q, r = np.nonzero(best.id != np.iinfo(np.int64).max)
         top = 2**63 - 1
         scores = [max(-top - 1, min(top, int(s))) for s in best.score[q, r]]
         yield pa.record_batch([pa.array(query_ids[q], pa.int64()), pa.array(best.id[q, r], pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "id", "score"])
 
-    return candidates.mapInArrow(run, "query_id long, id long, score long")
+    out = tables.settle(candidates.mapInArrow(run, "query_id long, id long, score long"))
+    held.destroy()
+    return out

@@ -188,6 +188,35 @@ def test_topk(spark):
     assert topk.exact_topk(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_in_query_blocks_and_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    r = np.random.default_rng(6)
+    rows = [(i % 230, [float(x) for x in r.integers(-3, 4, 40) / 8]) for i in range(250)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.exact_topk(table, table.filter("vec_id % 10 = 0")).collect())
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 10 == 0}):
+        own = min(v for i, v in rows if i == q)
+        own = [int(np.floor(256 * x)) for x in own]
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)]
+    assert got == want
+
+
+def test_topk_bounds_leave_candidates_out_after_one_block_of_dimensions():
+    r = np.random.default_rng(7)
+    rows = np.floor(r.normal(0, 1, (2000, 32)) * 256 * np.linspace(4, 0.2, 32))
+    best = topk._Best(20, 5)
+    topk._search(best, rows[:20], np.arange(20), rows, np.arange(2000))
+    assert best.left_out[16] > 20 * 1000
+    scores = rows[:20] @ rows.T
+    for q in range(20):
+        scores[q, q] = -np.inf
+        assert best.score[q].tolist() == sorted(scores[q], reverse=True)[:5]
+
+
 def test_topk_with_large_components(spark):
     rows = [(i, [float(3e14 + i), float(-1e14 * (i % 3))]) for i in range(6)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -248,6 +277,26 @@ def test_quality(spark, docs, empty):
     assert kept.columns == table.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if x.predicted}
 
 
+def test_quality_on_held_out_labels(spark):
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    got = quality.classify(spark.read.parquet(f"{at}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 80 and sum(r.predicted == r.quality for r in got) / len(got) >= 0.95
+
+
+def test_scores_match_a_plain_forward_pass():
+    r = np.random.default_rng(3)
+    first = np.array([0, 3, 4, 9])
+    numbers = r.normal(0, 1, (9, quality.WIDTH)).astype(np.float32)
+    model = quality.fit(numbers, first, np.array([1.0, 0.0, 1.0]), epochs=5)
+    w, sig = model.w, lambda x: 1 / (1 + np.exp(-x))
+    for i, got in enumerate(model.score(numbers, first)):
+        hs = [np.tanh((x - model.mean) / model.scale @ w["E"] + w["e"]) for x in numbers[first[i] : first[i + 1]]]
+        logits = np.array([(np.tanh(h @ w["V"]) * sig(h @ w["U"])) @ w["a"] for h in hs])
+        share = np.exp(logits) / np.exp(logits).sum()
+        assert abs(got - sig(sum(s * h for s, h in zip(share, hs)) @ w["o"] + w["b"][0])) < 1e-9
+
+
 def test_quality_never_learns_from_held_out_labels(spark):
     rows = [(i, f"text number {i} " * (i % 7 + 1)) for i in range(200)]
     table = brute.documents(spark, rows)
