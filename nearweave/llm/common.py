@@ -13,6 +13,9 @@ from ..plans.tables import settle as materialise  # noqa: F401  cuts lineage wit
 
 #: Bytes of text handled by one numpy pass; a longer single document forms a pass of its own.
 PASS_BYTES = 1 << 21
+#: The filters on ids have 64 bits in each of 2 ** FILTER longs; they tell apart so many ids.
+FILTER = 19
+FILTERED = 8 << FILTER
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -38,6 +41,33 @@ def lowest_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
 
 
+def constant(values: DataFrame, value: Column, bits: int) -> Column:
+    """One array of 2 ** bits longs from a table with a row (k long, value) for every place k: blocks first, then the whole."""
+    blocks = values.groupBy(F.shiftright("k", bits // 2).alias("h")).agg(F.sort_array(F.collect_list(F.struct("k", value.alias("x")))).alias("x"))
+    blocks = blocks.select("h", F.transform("x", lambda x: x["x"]).alias("x"))
+    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda x: x["x"])).alias("x")).scalar()
+
+
+def zeros(docs: DataFrame, bits: int) -> DataFrame:
+    """k and 0 for every place."""
+    return docs.sparkSession.range(1 << bits).select(F.col("id").alias("k"), F.lit(0).cast("long"))
+
+
+def _bit(columns: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(64 << FILTER))
+
+
+def id_filter(ids: DataFrame, *columns: str) -> Column:
+    """Bits of the ids' hashes in a fixed number of longs. Ids that aren't there may pass, too."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = ids.select(F.shiftright(_bit(columns), 6).alias("k"), bit.alias("x")).union(zeros(ids, FILTER))
+    return constant(words.groupBy("k").agg(F.bit_or("x").alias("x")), F.col("x"), FILTER)
+
+
+def may_hold(bits: Column, *columns: str) -> Column:
+    return F.bit_get(F.element_at(bits, F.shiftright(_bit(columns), 6).cast("int") + 1), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length + 1, from 0) of a string or binary array; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
-from .common import LOWEST, lowest_id, partitions
+from .common import FILTERED, LOWEST, constant, id_filter, lowest_id, may_hold, partitions, zeros
 
 SEPARATOR = r"[ \t\x0B\f\r]+"
 BITS = 20
@@ -40,8 +40,6 @@ GROUP = 256
 FREQUENT = 1_000_000
 #: A word is its rarity (a third of a power of two) on top of these bits of its hash.
 KEPT = 56
-#: The filters on ids have 64 bits in each of 2 ** FILTER longs, and tell apart an eighth as many ids.
-FILTER = 19
 
 
 def _words(line: Column) -> Column:
@@ -61,26 +59,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line") != "")
 
 
-def _constant(values: DataFrame, value: Column, bits: int) -> Column:
-    """One array of 2 ** bits longs from a table with a row (k long, value) for every place k: blocks first, then the whole."""
-    blocks = values.groupBy(F.shiftright("k", bits // 2).alias("h")).agg(F.sort_array(F.collect_list(F.struct("k", value.alias("x")))).alias("x"))
-    blocks = blocks.select("h", F.transform("x", lambda x: x["x"]).alias("x"))
-    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda x: x["x"])).alias("x")).scalar()
-
-
-def _zeros(docs: DataFrame, bits: int) -> DataFrame:
-    """k and 0 for every place."""
-    return docs.sparkSession.range(1 << bits).select(F.col("id").alias("k"), F.lit(0).cast("long"))
-
-
 def _rarities(docs: DataFrame) -> Column:
     """For each bucket, what turns its bits on top of a hash into the bucket's rarity, floor(3 * log2(count)), by xor."""
     words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
     words = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("k"), F.lit(1).cast("long").alias("c"))
-    every = words.union(_zeros(docs, BITS)).groupBy("k").agg(F.sum("c").alias("c"))
+    every = words.union(zeros(docs, BITS)).groupBy("k").agg(F.sum("c").alias("c"))
     rarity = F.least(F.floor(3 * F.log2(F.greatest("c", F.lit(1)))), F.lit(126)).cast("long")
     turn = F.shiftright("k", BITS + KEPT - 64).bitwiseXOR(rarity)
-    return _constant(every, F.shiftleft(turn, KEPT), BITS)
+    return constant(every, F.shiftleft(turn, KEPT), BITS)
 
 
 def _parts(word: Column) -> Column:
@@ -105,28 +91,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     return lines.select("d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64(F.lit(1), "a").alias("c2"), n.alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), prefix.alias("prefix"))
 
 
-def _bit(columns: tuple[str, ...]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(64 << FILTER))
-
-
-def _id_filter(ids: DataFrame, *columns: str) -> Column:
-    """Bits of the ids' hashes in a fixed number of longs. Ids that aren't there may pass, too."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = ids.select(F.shiftright(_bit(columns), 6).alias("k"), bit.alias("x")).union(_zeros(ids, FILTER))
-    return _constant(words.groupBy("k").agg(F.bit_or("x").alias("x")), F.col("x"), FILTER)
-
-
-def _may_hold(bits: Column, *columns: str) -> Column:
-    return F.bit_get(F.element_at(bits, F.shiftright(_bit(columns), 6).cast("int") + 1), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
-
-
 def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows with d and ln that ids hold, and few others: a filter of fixed size stands before anything is shuffled.
 
     Where there are more ids than it tells apart, a join leaves the others out.
     """
-    passed = rows.filter(_may_hold(_id_filter(ids, "d", "ln"), "d", "ln"))
-    return passed.join(ids, ["d", "ln"], "left_semi") if ids.count() > 8 << FILTER else passed
+    passed = rows.filter(may_hold(id_filter(ids, "d", "ln"), "d", "ln"))
+    return passed.join(ids, ["d", "ln"], "left_semi") if ids.count() > FILTERED else passed
 
 
 def _earlier(d: Column, ln: Column, e: Column, em: Column) -> Column:
@@ -236,9 +207,9 @@ def _with_removed(docs: DataFrame) -> DataFrame:
     """
     gone = _removed(docs)
     rows = docs.select(lowest_id().alias("d"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    bits = _id_filter(gone, "d")
-    touched = rows.filter(_may_hold(bits, "d")).join(gone, "d", "left")
-    return touched.unionByName(rows.filter(~_may_hold(bits, "d")).withColumn("lns", F.lit(None).cast("array<int>")))
+    bits = id_filter(gone, "d")
+    touched = rows.filter(may_hold(bits, "d")).join(gone, "d", "left")
+    return touched.unionByName(rows.filter(~may_hold(bits, "d")).withColumn("lns", F.lit(None).cast("array<int>")))
 
 
 def _kept_lines() -> Column:

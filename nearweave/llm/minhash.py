@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
-from .common import LOWEST, U64, doc_texts, gram_hashes, lowest_id, lower_ascii, mix, partitions, passes, raw, word_hashes, words
+from .common import LOWEST, U64, doc_texts, gram_hashes, id_filter, lowest_id, lower_ascii, may_hold, mix, partitions, passes, raw, word_hashes, words
 from .components import connected_components
 
 #: Shingles of a cluster that meet in one task, at most.
@@ -296,7 +296,9 @@ def _confirmed(docs: DataFrame, members: DataFrame, k: int, share: tuple[int, in
             yield close()
 
     kind = "cluster long, i int, j int, id long, shingles binary"
-    texts = doc_texts(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "id").join(placed, "id").select("cluster", "i", "j", "id", "text").mapInArrow(sets, kind)
+    # Texts of no cluster are left out by a filter of fixed size before any text is shuffled.
+    texts = doc_texts(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "id")
+    texts = texts.filter(may_hold(id_filter(members, "id"), "id")).join(placed.hint("merge"), "id").select("cluster", "i", "j", "id", "text").mapInArrow(sets, kind)
     return texts.repartition(partitions(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(meet, "u long, v long")
 
 
