@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,18 +13,20 @@ from ..functions.distance import Metric, metric
 from .leaf import brute_force, edge_batch, matrix
 from .topk import top_k
 
-#: Vectors of a block.
-BLOCK = 4096
+#: Bytes of a block of vectors in doubles, at most; and vectors of a block where more blocks only keep the cores busy.
+BLOCK_BYTES, BLOCK = 64 << 20, 4096
 
 
 def exact_knn(vectors: DataFrame, k: int, metric_name: str | Metric = "l2", block: int = BLOCK) -> DataFrame:
     """u, v, d by brute force in blocks: every pair of blocks meets in one task, which sends on k rows for each vector.
 
-    Work grows with the square of the vectors by definition; memory of a task is two blocks, whatever the input.
+    Work grows with the square of the vectors by definition; memory of a task is two blocks, whatever the input. A vector
+    is shuffled once for each block: there are as many blocks as their bytes ask for, or as keep all cores busy.
     """
     m = metric(metric_name)
-    n = vectors.count()
-    g = max(1, -(-n // block))
+    n, width = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    g = max(1, -(-n * 8 * (width or 1) // BLOCK_BYTES), min(-(-n // block), math.isqrt(8 * cores)))
     own = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
     other = F.sequence(F.lit(0), F.lit(g - 1))
     placed = vectors.select("id", "vec", own.alias("b")).select("id", "vec", "b", F.explode(other).alias("o"))

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from ..functions.distance import Metric, metric
 
 CUTOFF = 10_000
-#: Rows of a tile of the distance table.
-TILE = 1024
+#: Rows of a tile of the distance table, and its bytes, at most.
+TILE, TILE_BYTES = 1024, 64 << 20
+#: Bytes of the vectors that a tile of points gathers at once.
+GATHERED = 64 << 20
 
 
 def brute_force(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray, k: int, m: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -23,8 +25,9 @@ def brute_force(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarr
     A table that is exact up to rounding shortens the lists; kept pairs get their true distance.
     """
     us, vs, ds = [], [], []
-    for a in range(0, len(x) if len(y) else 0, TILE):
-        tile, ids = x[a : a + TILE], x_ids[a : a + TILE]
+    step = max(1, min(TILE, TILE_BYTES // (8 * max(1, len(y)))))
+    for a in range(0, len(x) if len(y) else 0, step):
+        tile, ids = x[a : a + step], x_ids[a : a + step]
         near = m.table(tile, y)
         near[ids[:, None] == y_ids[None, :]] = np.inf
         kth = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
@@ -45,35 +48,34 @@ def brute_force(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarr
 
 
 class _Lists:
-    """k nearest of each of n points, with the round in which an entry came."""
+    """k nearest of each of n points; fresh entries have not been taken to a local join yet."""
 
     def __init__(self, n: int, k: int):
         self.id = np.full((n, k), -1, np.int64)
         self.d = np.full((n, k), np.inf)
-        self.born = np.full((n, k), -1, np.int64)
-
-    def push(self, u: np.ndarray, v: np.ndarray, d: np.ndarray, born: int) -> int:
-        """Offer entries; an entry that is there stays as it is. Returns how many new entries stay."""
-        n, k = self.id.shape
-        rows, cols = np.nonzero(self.id >= 0)
-        u = np.concatenate([rows, u])
-        v = np.concatenate([self.id[rows, cols], v])
-        d = np.concatenate([self.d[rows, cols], d])
-        age = np.concatenate([self.born[rows, cols], np.full(len(u) - len(rows), born)])
-        order = np.lexsort((age, v, u))
-        u, v, d, age = u[order], v[order], d[order], age[order]
+        self.fresh = np.zeros((n, k), bool)
+
+    def push(self, points: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> int:
+        """Offer v at distance d to points[u]; an entry that is there stays as it is. Returns how many new entries stay."""
+        k = self.id.shape[1]
+        near = d <= self.d[points[u], -1]
+        u, v, d = u[near], v[near], d[near]
+        rows, cols = np.nonzero(self.id[points] >= 0)
+        old = points[rows]
+        u, v, d = np.concatenate([rows, u]), np.concatenate([self.id[old, cols], v]), np.concatenate([self.d[old, cols], d])
+        state = np.concatenate([self.fresh[old, cols].astype(np.int8), np.full(len(u) - len(rows), 2, np.int8)])  # 2: just offered
+        order = np.lexsort((state == 2, v, u))
+        u, v, d, state = u[order], v[order], d[order], state[order]
         first = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
-        u, v, d, age = u[first], v[first], d[first], age[first]
+        u, v, d, state = u[first], v[first], d[first], state[first]
         order = np.lexsort((v, d, u))
-        u, v, d, age = u[order], v[order], d[order], age[order]
-        place = np.arange(len(u)) - np.searchsorted(u, np.arange(n))[u]
+        u, v, d, state = u[order], v[order], d[order], state[order]
+        place = np.arange(len(u)) - np.searchsorted(u, np.arange(len(points)))[u]
         keep = place < k
-        u, v, d, age, place = u[keep], v[keep], d[keep], age[keep], place[keep]
-        self.id.fill(-1)
-        self.d.fill(np.inf)
-        self.born.fill(-1)
-        self.id[u, place], self.d[u, place], self.born[u, place] = v, d, age
-        return int((age == born).sum())
+        u, v, d, state, place = points[u[keep]], v[keep], d[keep], state[keep], place[keep]
+        self.id[points], self.d[points], self.fresh[points] = -1, np.inf, False
+        self.id[u, place], self.d[u, place], self.fresh[u, place] = v, d, state > 0
+        return int((state == 2).sum())
 
 
 def _divide(x: np.ndarray, members: np.ndarray, ways: int, leaf: int, m: Metric, r: np.random.Generator) -> list[np.ndarray]:
@@ -94,50 +96,57 @@ def _divide(x: np.ndarray, members: np.ndarray, ways: int, leaf: int, m: Metric,
     return done
 
 
+def _sampled(lists: _Lists, sample: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """For each point a random few of the ends of its fresh edges, in both directions, and of its other edges (-1: none).
+
+    Fresh entries that are taken age; those that no sample took stay fresh for the next turn.
+    """
+    n = len(lists.id)
+    out = []
+    for kind in (True, False):
+        rows, cols = np.nonzero((lists.id >= 0) & (lists.fresh == kind))
+        ends, edge = lists.id[rows, cols], np.arange(len(rows))
+        a, b, edge = np.concatenate([rows, ends]), np.concatenate([ends, rows]), np.concatenate([edge, edge])
+        order = np.lexsort((r.random(len(a), np.float32), a))
+        a, b, edge = a[order], b[order], edge[order]
+        place = np.arange(len(a)) - np.searchsorted(a, np.arange(n))[a]
+        keep = place < sample
+        table = np.full((n, sample), -1, np.int64)
+        table[a[keep], place[keep]] = b[keep]
+        out.append((table, rows, cols, edge[keep]))
+    table, rows, cols, taken = out[0]
+    lists.fresh[rows[taken], cols[taken]] = False
+    return table, out[1][0]
+
+
 def local_descent(x: np.ndarray, k: int, m: Metric, seed: int, rounds: int = 50, sample: int | None = None, threshold: float = 0.001, trees: int = 3, ways: int = 5, leaf: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate neighbour indices and distances of all rows of x (-1 where fewer than k are known)."""
+    """Approximate neighbour indices and distances of all rows of x (-1 where fewer than k are known).
+
+    A point meets the sampled neighbours of its sampled neighbours, if one of the two edges is fresh. Points go in tiles: a
+    tile's offers are measured and cut to k before the next tile, so that memory is the lists, the samples and one tile.
+    """
     n, r = len(x), np.random.default_rng(seed)
     k = min(k, n - 1)
-    sample = sample or k
-    lists, index = _Lists(n, k), np.arange(n)
+    sample = sample or max(1, k // 2)
+    lists, every = _Lists(n, k), np.arange(n)
     for _ in range(trees):
-        for block in _divide(x, index, ways, leaf, m, r):
+        for block in _divide(x, every, ways, leaf, m, r):
             if len(block) > 1:
-                lists.push(*brute_force(x[block], x[block], block, block, k, m), 0)
-    fresh = lists.id >= 0
-    for turn in range(1, rounds + 1):
-        rows, cols = np.nonzero(lists.id >= 0)
-        ends = lists.id[rows, cols]
-        new = fresh[rows, cols]
-        chosen = {}
-        for kind in (True, False):  # both directions of every edge, a random few for each point
-            at = new == kind
-            a, b = np.concatenate([rows[at], ends[at]]), np.concatenate([ends[at], rows[at]])
-            order = np.lexsort((r.random(len(a)), a))
-            a, b = a[order], b[order]
-            place = np.arange(len(a)) - np.searchsorted(a, index)[a]
-            table = np.full((n, sample), -1, np.int64)
-            keep = place < sample
-            table[a[keep], place[keep]] = b[keep]
-            chosen[kind] = table
-        # Sampled fresh entries age; those that no sample took stay fresh for the next turn.
-        taken = (chosen[True][rows] == ends[:, None]).any(1) | (chosen[True][ends] == rows[:, None]).any(1)
-        fresh[rows, cols] = new & ~taken
-        waiting = {(int(p), int(q)) for p, q in zip(rows[new & ~taken], ends[new & ~taken])}
-        pairs = []
-        for a in range(0, n, 4096):
-            one, two = chosen[True][a : a + 4096], chosen[False][a : a + 4096]
-            for left, right in ((one, one), (one, two)):
-                p, q = np.broadcast_arrays(left[:, :, None], right[:, None, :])
-                good = (p >= 0) & (q >= 0) & (p != q)
-                pairs.append(np.minimum(p[good], q[good]) * n + np.maximum(p[good], q[good]))
-        code = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        p, q = code // n, code % n
-        d = np.concatenate([m.rows(x[p[i : i + 65536]], x[q[i : i + 65536]]) for i in range(0, len(p), 65536)]) if len(p) else np.zeros(0)
-        changed = lists.push(np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([d, d]), turn)
-        fresh = lists.born == turn
-        for p0, q0 in waiting:
-            fresh[p0, lists.id[p0] == q0] = True
+                u, v, d = brute_force(x[block], x[block], np.arange(len(block)), np.arange(len(block)), k, m)
+                lists.push(block, u, block[v], d)
+    tile = max(1, GATHERED // (3 * sample * sample * x.shape[1] * x.itemsize))
+    for _ in range(rounds):
+        new, old = _sampled(lists, sample, r)
+        changed = 0
+        for a in range(0, n, tile):
+            points = every[a : a + tile]
+            ends = [np.where(centre[points][:, :, None] >= 0, to[centre[points]], -1).reshape(len(points), -1) for centre, to in ((new, new), (new, old), (old, new))]
+            met = np.sort(np.concatenate(ends, 1), 1)
+            good = (met >= 0) & (met != points[:, None])
+            good[:, 1:] &= met[:, 1:] != met[:, :-1]
+            u, place = np.nonzero(good)
+            v = met[u, place]
+            changed += lists.push(points, u, v, m.rows(x[points[u]], x[v]))
         if changed <= int(n * k * threshold):
             break
     return lists.id, lists.d

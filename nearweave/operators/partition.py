@@ -6,6 +6,8 @@ through the tree so far, and what is shuffled are block sizes and the few member
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,7 +20,7 @@ from .leaf import matrix
 ROOT = "0"
 #: Bytes of centroids that are sent to every executor, at most.
 TREE_BYTES = 512 << 20
-#: Ids of sampled members that are sent to every executor, at most.
+#: Ids of sampled members, or paths of blocks, that are sent to every executor, at most.
 SENT_IDS = 1_000_000
 
 
@@ -94,38 +96,44 @@ def routed(vectors: DataFrame, tree: Tree, with_vectors: bool = True) -> DataFra
     return vectors.select("id", "vec").mapInArrow(run, kind)
 
 
-def grow_level(vectors: DataFrame, tree: Tree, alpha: int, rho: int, seed: int, level: int) -> bool:
-    """Split every block that is larger than alpha; False where there is none."""
+def grow_level(vectors: DataFrame, tree: Tree, alpha: int, rho: int, seed: int, level: int) -> dict[str, int]:
+    """Split every block that is larger than alpha; the sizes of those blocks."""
     placed = routed(vectors, tree, with_vectors=False)
     sizes = {r.path: r["count"] for r in placed.groupBy("path").count().filter(F.col("count") > alpha).collect()}
     if not sizes:
-        return False
-    # Fewer than N / alpha blocks with rho centroids each; the tree's bytes are checked before it is sent out.
-    chosen = sample_centroids(placed.filter(F.col("path").isin(*sizes)) if len(sizes) < 1000 else placed, rho, derive(seed, level))
+        return sizes
+    # Fewer than N / alpha blocks with rho centroids each: the tree's bytes are checked before any centroid is fetched.
+    width = vectors.select(F.size("vec").alias("w")).first().w
+    if tree.bytes() + 8 * rho * len(sizes) * width > TREE_BYTES:
+        raise ValueError("the tree of centroids is larger than may be sent to every executor: raise alpha or lower rho")
+    active = vectors.sparkSession.createDataFrame([(path,) for path in sizes], "path string")
+    if len(sizes) <= SENT_IDS:
+        active = F.broadcast(active)
+    chosen = sample_centroids(placed.join(active, "path", "left_semi"), rho, derive(seed, level))
     if rho * len(sizes) <= SENT_IDS:
         chosen = F.broadcast(chosen)  # so few ids that vectors needn't be shuffled to meet them
     rows = vectors.select("id", "vec").join(chosen, "id").select("path", "idx", "vec").collect()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.path, r.idx)):
-        if r.path in sizes:
-            found.setdefault(r.path, []).append(r.vec)
+        found.setdefault(r.path, []).append(r.vec)
     for path, centres in found.items():
         c = np.array(centres, np.float64)
         tree.centroids[path] = None if (c == c[0]).all() else c
-    if tree.bytes() > TREE_BYTES:
-        raise ValueError("the tree of centroids is larger than may be sent to every executor: raise alpha or lower rho")
     for path, size in sizes.items():  # a block that holds all its parent's members was not split: go on by hash
         if tree.sizes.get(path.rsplit("/", 1)[0]) == size and path != ROOT:
             tree.centroids[path] = None
     tree.sizes.update(sizes)
-    return True
+    return sizes
 
 
-def recursive_partition(vectors: DataFrame, alpha: int, rho: int, seed: int = 0, metric_name: str | Metric = "l2", max_depth: int = 64) -> Tree:
-    """A tree whose leaves hold at most alpha vectors each (unless max_depth ends it)."""
+def recursive_partition(vectors: DataFrame, alpha: int, rho: int, seed: int = 0, metric_name: str | Metric = "l2", max_depth: int = 64, report: Callable[[int, dict[str, int]], None] | None = None) -> Tree:
+    """A tree whose leaves hold at most alpha vectors each (unless max_depth ends it); report gets each level's split blocks."""
     tree = Tree(metric(metric_name), rho, seed)
     for level in range(max_depth):
-        if not grow_level(vectors, tree, alpha, rho, seed, level):
+        sizes = grow_level(vectors, tree, alpha, rho, seed, level)
+        if report is not None:
+            report(level, sizes)
+        if not sizes:
             break
     return tree
 

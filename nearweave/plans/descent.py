@@ -10,12 +10,12 @@ from ..functions.rand import derive
 from ..operators.graph import offers, random_graph
 from ..operators.topk import merge_top_k
 from .history import History
-from .tables import settle
+from .tables import Tables
 
 
 def descent_round(graph: DataFrame, vectors: DataFrame, k: int, size: int, seed: int, metric_name: str | Metric = "l2") -> DataFrame:
     """The next graph: offers of the local join merged into the lists; what was listed is old now."""
-    return merge_top_k(graph, offers(graph, vectors, size, seed, metric_name), k)
+    return merge_top_k(graph, offers(graph, vectors, size, seed, metric_name, k), k)
 
 
 def descent_knn(
@@ -28,12 +28,14 @@ def descent_knn(
     if not k:
         return vectors.sparkSession.createDataFrame([], "u long, v long, d double, is_new boolean")
     size, limit = int(k * sample), int(et * n * k)
-    graph = settle(random_graph(vectors, k, derive(seed, 0), metric_name))
-    for turn in range(1, max_rounds + 1):
-        graph = settle(descent_round(graph, vectors, k, size, derive(seed, turn), metric_name))
-        rows, changes = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("is_new").cast("long")), F.lit(0))).first()
-        if history is not None:
-            history.add("descent", 0, turn, rows, changes)
-        if changes <= limit:
-            break
-    return graph
+    with Tables(vectors.sparkSession) as tables:
+        graph = tables.settle(random_graph(vectors, k, derive(seed, 0), metric_name))
+        for turn in range(1, max_rounds + 1):
+            last, graph = graph, tables.settle(descent_round(graph, vectors, k, size, derive(seed, turn), metric_name))
+            tables.drop(last)
+            rows, changes = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("is_new").cast("long")), F.lit(0))).first()
+            if history is not None:
+                history.add("descent", 0, turn, rows, changes)
+            if changes <= limit:
+                break
+        return tables.keep(graph)

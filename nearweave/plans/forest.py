@@ -11,15 +11,16 @@ from ..operators.leaf import CUTOFF, leaf_knn
 from ..operators.partition import recursive_partition, routed
 from ..operators.topk import merge_top_k
 from .history import History
-from .tables import settle
+from .tables import Tables
 
 
-def epoch_lists(vectors: DataFrame, k: int, alpha: int, rho: int, seed: int, epoch: int, metric_name: str | Metric = "l2", cutoff: int = CUTOFF, trees: int = 1) -> DataFrame:
+def epoch_lists(vectors: DataFrame, k: int, alpha: int, rho: int, seed: int, epoch: int, metric_name: str | Metric = "l2", cutoff: int = CUTOFF, trees: int = 1, history: History | None = None) -> DataFrame:
     """u, v, d: neighbour lists inside the leaves of one epoch's partitions."""
     found = None
     for tree in range(trees):
         own = derive(seed, epoch, tree)
-        part = leaf_knn(routed(vectors, recursive_partition(vectors, alpha, rho, own, metric_name)), k, metric_name, cutoff, own)
+        report = None if history is None else lambda level, sizes: history.level(epoch, level, sizes)
+        part = leaf_knn(routed(vectors, recursive_partition(vectors, alpha, rho, own, metric_name, report=report)), k, metric_name, cutoff, own)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -37,12 +38,15 @@ def forest_knn(
     limit, graph = int(tau * n * k), None
     if not k:
         return vectors.sparkSession.createDataFrame([], "u long, v long, d double, is_new boolean")
-    for epoch in range(max_epochs):
-        lists = epoch_lists(vectors, k, alpha, rho, seed, epoch, metric_name, cutoff, trees)
-        graph = settle(merge_top_k(graph, lists, k))
-        rows, changes = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("is_new").cast("long")), F.lit(0))).first()
-        if history is not None:
-            history.add("forest", epoch, 0, rows, changes)
-        if changes <= limit:
-            break
-    return graph
+    with Tables(vectors.sparkSession) as tables:
+        for epoch in range(max_epochs):
+            lists = epoch_lists(vectors, k, alpha, rho, seed, epoch, metric_name, cutoff, trees, history)
+            last, graph = graph, tables.settle(merge_top_k(graph, lists, k))
+            if last is not None:
+                tables.drop(last)
+            rows, changes = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("is_new").cast("long")), F.lit(0))).first()
+            if history is not None:
+                history.add("forest", epoch, 0, rows, changes)
+            if changes <= limit:
+                break
+        return tables.keep(graph)

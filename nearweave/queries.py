@@ -371,11 +371,17 @@ def local_descent_invariants(spark, sf_dir):
     return _sound(leaf_knn(vectors.select(F.lit("0").alias("path"), "id", "vec"), K, cutoff=100, seed=SEED), vectors)
 
 
-@_query("SELECT 'forest' AS phase, 0 AS epoch, count(*) * 10 AS rows, count(*) * 10 AS changes FROM embeddings UNION ALL SELECT 'forest', 1, count(*) * 10, 0 FROM embeddings")
+def _sql_levels(prefix: str, epoch: int, levels: int = 7) -> str:
+    """A row for each level of a partition, up to the first without blocks to split."""
+    rows = [f"SELECT 'partition' AS phase, {epoch} AS epoch, {n} AS iter, (SELECT count(*) FROM {prefix}{n}m) AS rows, (SELECT count(*) FROM {prefix}{n}s) AS changes" for n in range(levels)]
+    return " UNION ALL ".join(row + (f" WHERE EXISTS (SELECT * FROM {prefix}{n - 1}s)" if n else "") for n, row in enumerate(rows))
+
+
+@_query(f"WITH {V}, {_epoch('p', 0)} {_sql_levels('p', 0)} UNION ALL SELECT 'forest', 0, 0, count(*), count(*) FROM pl")
 def build_history(spark, sf_dir):
     history = History()
-    forest_knn(_vectors(spark, sf_dir), K, seed=SEED, history=history)
-    return history.frame(spark).select("phase", "epoch", "rows", "changes")
+    forest_knn(_vectors(spark, sf_dir), K, alpha=ALPHA, rho=RHO, max_epochs=1, seed=SEED, history=history)
+    return history.frame(spark).select("phase", "epoch", "iter", "rows", "changes")
 
 
 @_query(f"WITH {V}, {_sql_exact()} {_RANKED}")

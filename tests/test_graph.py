@@ -1,13 +1,18 @@
 """Edge cases of the graph engine: small inputs, duplicates, outliers, sparse ids, ties, bad lines, kernels."""
 
+import shutil
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nearweave.functions.distance import METRICS, Metric, metric
+from nearweave.operators import graph as graph_steps
+from nearweave.operators import leaf, partition
 from nearweave.operators.exact import exact_knn, exact_knn_expression
-from nearweave.operators.graph import dense_index, random_graph, random_neighbors
+from nearweave.operators.graph import dense_index, local_join, offers, random_graph, random_neighbors
 from nearweave.operators.leaf import brute_force, local_descent, solve_block
 from nearweave.operators.metrics import degree_stats, invariants, recall
 from nearweave.operators.partition import recursive_partition, routed
@@ -15,6 +20,8 @@ from nearweave.operators.topk import merge_top_k
 from nearweave.plans.descent import descent_knn
 from nearweave.plans.engine import KnnGraph
 from nearweave.plans.forest import forest_knn
+from nearweave.plans import tables
+from nearweave.plans.tables import shared_root
 from nearweave.sources.vectors import read_adjacency_text, read_vectors_text
 
 
@@ -73,7 +80,9 @@ def test_full_leaf_is_exact_and_ends(spark):
     g = KnnGraph(frame(spark, x), k=5)
     got = edges(g.forest(alpha=30, rho=3))
     assert got.keys() == truth(x, range(30), 5).keys()
-    assert [(r.epoch, r.changes) for r in g.progress().orderBy("epoch").collect()] == [(0, 150), (1, 0)]
+    done = g.progress()
+    assert [(r.epoch, r.changes) for r in done.filter("phase = 'forest'").orderBy("epoch").collect()] == [(0, 150), (1, 0)]
+    assert [(r.epoch, r.iter, r.rows) for r in done.filter("phase = 'partition'").orderBy("epoch").collect()] == [(0, 0, 0), (1, 0, 0)]
     assert g.recall(exact_knn(g.vectors, 5)).first().recall == 1.0
 
 
@@ -182,6 +191,70 @@ def test_local_descent_recall():
     assert (np.diff(d, axis=1) >= 0).all()
 
 
+def test_local_descent_in_small_tiles_finds_the_same(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(600, 6))
+    whole = local_descent(x, 8, METRICS["l2"], seed=1, leaf=100)
+    monkeypatch.setattr(leaf, "GATHERED", 1 << 16)
+    monkeypatch.setattr(leaf, "TILE_BYTES", 1 << 12)
+    tiles = local_descent(x, 8, METRICS["l2"], seed=1, leaf=100)
+    assert (whole[0] == tiles[0]).mean() > 0.95 and (whole[1][:, -1] > 0).all()
+
+
+def test_offers_cut_to_k_change_no_round(spark):
+    vectors = frame(spark, RNG.normal(size=(150, 4)))
+    graph = random_graph(vectors, 6, 3).cache()
+    whole, cut = (edges(merge_top_k(graph, offers(graph, vectors, 3, 5, "l2", k), 6)) for k in (None, 6))
+    assert whole == cut
+    pairs = {(r.x, r.y) for r in local_join(graph, 3, 5).collect()}
+    assert {(r.u, r.v) for r in offers(graph, vectors, 3, 5).collect()} == pairs | {(y, x) for x, y in pairs}
+
+
+def test_short_random_lists_are_filled(spark, monkeypatch):
+    ids = spark.range(200).withColumn("id", F.col("id") * 3)
+    monkeypatch.setattr(graph_steps, "hash_two", lambda u, v, seed: F.lit(7).cast("long"))
+    rows = random_neighbors(ids, 5, 1).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.u, set()).add(r.v)
+    assert len(rows) == 1000 and all(len(v) == 5 and u not in v for u, v in found.items())
+
+
+def test_partition_with_many_active_blocks(spark):
+    x = np.concatenate([np.arange(4500.0) * 10, np.arange(4500.0) * 10 + 0.1])
+    vectors = frame(spark, x[:, None]).coalesce(4)
+    seen = []
+    tree = recursive_partition(vectors, 2, 1200, seed=2, report=lambda level, sizes: seen.append(sizes))
+    sizes = [r["count"] for r in routed(vectors, tree).groupBy("path").count().collect()]
+    assert max(sizes) <= 2 and sum(sizes) == 9000
+    assert len(seen[1]) >= 1000 and seen[-1] == {}
+    final = set(seen[0]) | set(seen[1])
+    assert set(tree.centroids) == set().union(*seen) and final <= set(tree.centroids)
+
+
+def test_too_large_a_tree_is_refused_before_it_is_fetched(spark, monkeypatch):
+    monkeypatch.setattr(partition, "TREE_BYTES", 100)
+    with pytest.raises(ValueError):
+        recursive_partition(frame(spark, RNG.normal(size=(50, 4))), 10, 5)
+
+
+def test_builds_leave_nothing_but_what_their_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_root", lambda spark: str(tmp_path))
+    vectors = frame(spark, RNG.normal(size=(300, 3)))
+    for build in (lambda: forest_knn(vectors, 4, alpha=60, rho=3, max_epochs=2), lambda: descent_knn(vectors, 4, max_rounds=2)):
+        out = build()
+        assert out.count() and {f.rpartition("/")[0].removeprefix("file:").replace("///", "/") for f in out.inputFiles()} == {str(p) for p in tmp_path.iterdir()}
+        shutil.rmtree(next(tmp_path.iterdir()))
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("X", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})})
+
+    with pytest.raises(ValueError):
+        shared_root(Unset)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(2, 30), st.integers(1, 8), st.integers(0, 10_000))
 def test_block_solver_matches_brute_force(n, k, seed):
