@@ -35,7 +35,7 @@ SEPARATOR = r"[ \t\x0B\f\r]+"
 BITS = 20
 BUCKETS = 1 << BITS
 #: Rows of a word's group in which all meet.
-GROUP = 256
+GROUP = 1024
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
 #: A word is its rarity (a third of a power of two) on top of these bits of its hash.
@@ -172,7 +172,7 @@ def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _refined(large: DataFrame, every: DataFrame) -> DataFrame:
     """Rows of large groups for each two of their words: w, v, and what _ROW names, with v's place."""
-    prefixes = every.select("d", "ln", "prefix").join(large.select("d", "ln").distinct(), ["d", "ln"], "left_semi").distinct()
+    prefixes = _of(every.select("d", "ln", "prefix"), large.select("d", "ln").distinct()).distinct()
     both = large.join(prefixes, ["d", "ln"]).select(F.get("prefix", F.col("p") - 1).alias("w"), "d", "ln", "n", "b0", "b1", F.col("p").alias("own"), F.posexplode("prefix").alias("p", "v"))
     return both.filter(F.col("w").isNotNull() & (F.col("p") >= F.col("own"))).withColumn("p", F.col("p") + 1).select("w", "v", *_ROW)
 
@@ -189,7 +189,8 @@ def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = refined.join(gone, ["d", "ln"], "left_anti")
         same = (F.col("x.w") == F.col("y.w")) & (F.col("x.v") == F.col("y.v"))
         more = rest.alias("x").join(refined.alias("y"), same & _after() & _similar(2)).select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far"))
-        gone = gone.union(_matched(tables, docs, tables.settle(more.distinct())))
+        more = tables.settle(more.distinct())
+        gone = gone if more.isEmpty() else gone.union(_matched(tables, docs, more))
     return every.select("d", "ln"), firsts.join(gone, ["d", "ln"], "left_anti")
 
 
