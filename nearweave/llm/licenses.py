@@ -51,7 +51,51 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     ),
     "GplAsIs": (
         "this program is distributed in the hope that it will be useful but without any warranty",
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "this library is distributed in the hope that it will be useful but without any warranty",
+    ),
+    "GplTerms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
+    "LgplFree": ("this library is free software",),
+    "LgplTerms": ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",),
+    "LgplTerms3Plus": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "AgplTerms": ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",),
+    "AgplTerms3Plus": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "Either2Plus": ("either version 2 of the license or at your option any later version",),
+    "Either21Plus": ("either version 2 1 of the license or at your option any later version",),
+    "Either3Plus": ("either version 3 of the license or at your option any later version",),
+    "Mpl2Subject": ("this source code form is subject to the terms of the mozilla public license v",),
+    "Mpl2Copy": (
+        "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    ),
+    "Epl1Name": ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at",),
+    "Epl2Name": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution and is available at",
+    ),
+    "IscGrant": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "IscAsIs": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "ZlibAsIs": ("this software is provided as is without any express or implied warranty",),
+    "ZlibGrant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "ZlibOrigin": ("the origin of this software must not be misrepresented",),
+    "ZlibAltered": ("altered source versions must be plainly marked as such and must not be misrepresented as being the original software",),
+    "ZlibNotice": ("this notice may not be removed or altered from any source distribution",),
+    "Bsl1Name": ("distributed under the boost software license version 1 0",),
+    "Bsl1Grant": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    ),
+    "UnlicenseFree": ("this is free and unencumbered software released into the public domain",),
+    "UnlicenseAnyone": (
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    "Cc0Dedicated": (
+        "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     ),
     "CcByNc4Name": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     "CcBySa4Name": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
@@ -78,6 +122,26 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-or-later", ("GplFree", "GplTerms3Plus", "GplAsIs")),
     ("GPL-3.0-or-later", ("GplGrant3Plus", "GplAsIs")),
     ("GPL-3.0-or-later", ("GplGrant3Plus",)),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms3Plus")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Either3Plus")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "Either2Plus")),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplTerms", "Either21Plus")),
+    ("LGPL-3.0-or-later", ("LgplFree", "LgplTerms", "Either3Plus")),
+    ("LGPL-3.0-or-later", ("LgplFree", "LgplTerms3Plus")),
+    ("LGPL-3.0-or-later", ("GplFree", "LgplTerms3Plus")),
+    ("AGPL-3.0-or-later", ("GplFree", "AgplTerms3Plus")),
+    ("AGPL-3.0-or-later", ("GplFree", "AgplTerms", "Either3Plus")),
+    ("MPL-2.0", ("Mpl2Subject", "Mpl2Copy")),
+    ("EPL-1.0", ("Epl1Name",)),
+    ("EPL-2.0", ("Epl2Name",)),
+    ("ISC", ("IscGrant", "IscAsIs")),
+    ("ISC", ("IscGrant",)),
+    ("Zlib", ("ZlibAsIs", "ZlibGrant", "ZlibOrigin", "ZlibAltered", "ZlibNotice")),
+    ("BSL-1.0", ("Bsl1Name",)),
+    ("BSL-1.0", ("Bsl1Grant",)),
+    ("Unlicense", ("UnlicenseFree", "UnlicenseAnyone")),
+    ("Unlicense", ("UnlicenseFree",)),
+    ("CC0-1.0", ("Cc0Dedicated",)),
     ("GPL-3.0-only", ("Gpl3Name",)),
     ("GPL-2.0-only", ("Gpl2Name",)),
     ("CC-BY-NC-4.0", ("CcByNc4Name",)),
@@ -86,7 +150,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("AllRights",)),
 )
 #: Each known sentence holds one of these, within a word, as blanks are not normalised yet: texts without any are not cut.
-CUES = ("licens", "permi", "redistribut", "warrant", "reserved", "software")
+CUES = ("licens", "permi", "distribut", "warrant", "reserved", "software")
 assert all(any(c in s for c in CUES) for forms in SENTENCES.values() for s in forms if "copy of the license" not in s)
 
 _FORMS = {form: name for name, forms in SENTENCES.items() for form in forms}

@@ -126,6 +126,70 @@ def test_wrapped_licences(spark):
     assert rows[0].sentence_ids == "MitGrant MitNotice MitAsIs" and rows[3].sentence_ids == "Apache2Name Apache2Use Apache2Copy Apache2AsIs"
 
 
+HEADERS = {
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "LGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """         Copyright Somebody 2020.
+Distributed under the Boost Software License, Version 1.0.
+   (See accompanying file LICENSE_1_0.txt)""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.""",
+    "Apache-2.0": APACHE,
+    "GPL-3.0-or-later": GPL,
+    "MIT": MIT,
+}
+
+
+def test_licence_headers_in_comments(spark):
+    marks = [lambda x: x, lambda x: "# " + x.replace("\n", "\n# "), lambda x: "// " + x.replace("\n", "\n// ") + "\nint main();", lambda x: "/*\n * " + x.replace("\n", "\n * ") + "\n */\nint x;", lambda x: x.replace("\n", "\r\n")]
+    cases = [(name, mark(text)) for name, text in HEADERS.items() for mark in marks]
+    rows = licenses.scan_licences(brute.documents(spark, [(i, text) for i, (_, text) in enumerate(cases)])).orderBy("doc_id").collect()
+    assert [r.licences for r in rows] == [name for name, _ in cases]
+
+
 def test_licence_cue_with_other_blanks(spark):
     rows = licenses.scan_licences(brute.documents(spark, [(1, "This program is free  software."), (2, "This program is free\tsoftware.")])).collect()
     assert [(r.n_known, r.sentence_ids) for r in rows] == [(1, "GplFree")] * 2
