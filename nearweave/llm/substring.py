@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWEST, U64, gram_hashes, lowest_id, materialise, mix, partitions, passes, raw, word_hashes, words
+from ..plans.tables import Tables
+from .common import LOWEST, U64, gram_hashes, id_filter, lowest_id, may_hold, mix, partitions, passes, raw, word_hashes, words
 from .merging import ragged
 
 WINDOW, GRAM = 20, 5
@@ -108,7 +109,7 @@ def _repeated(docs: DataFrame, window: int) -> DataFrame:
     counts = anchors.groupBy("key").agg(F.sum("c").alias("n")).filter("n > 1").select("key", (F.col("n") > FREQUENT).alias("hot"))
     found = anchors.select("key", "d").join(counts, "key")
     few = F.collect_set(F.when(~F.col("hot"), F.col("key")))
-    return materialise(found.groupBy("d").agg(few.alias("few"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("many")))
+    return found.groupBy("d").agg(few.alias("few"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("many"))
 
 
 def _keys(column: pa.Array, a: int, b: int) -> np.ndarray:
@@ -279,13 +280,20 @@ def _joined(p: _Pass, gone: np.ndarray) -> tuple[memoryview, list[int]]:
 
 
 def _located(docs: DataFrame, window: int, extra: tuple = ()) -> DataFrame:
-    """d, t, few, many, fresh and extra columns of every row."""
+    """d, t, few, many, fresh and extra columns of every row.
+
+    Documents without repeated anchors, but for the few that pass a filter of fixed size, are not shuffled.
+    """
     prepared = docs.select(lowest_id().alias("d"), F.col("text").cast("string").alias("t"), *extra)
-    keys = _repeated(_prepared(docs), window)
-    keyed = prepared.join(keys.hint("shuffle_hash"), "d", "left")
-    fresh = materialise(_fresh(_segments(keyed.select("d", "t", "few", "many"), window), window))
-    listed = fresh.groupBy("d").agg(F.collect_list(F.struct("h", "start", "n")).alias("fresh"))
-    return keyed.join(listed.hint("shuffle_hash"), "d", "left").select("d", "t", "few", "many", "fresh", *[c for c in keyed.columns if c == "row"])
+    with Tables(docs.sparkSession) as tables:
+        keys = tables.keep(_repeated(_prepared(docs), window))
+        bits = id_filter(keys, "d")
+        keyed = prepared.filter(may_hold(bits, "d")).join(keys.hint("merge"), "d", "left")
+        fresh = tables.keep(_fresh(_segments(keyed.select("d", "t", "few", "many"), window), window).groupBy("d").agg(F.collect_list(F.struct("h", "start", "n")).alias("fresh")))
+    alone = prepared.filter(~may_hold(bits, "d")).withColumns({c: F.lit(None).cast("array<long>") for c in ("few", "many")})
+    alone = alone.withColumn("fresh", F.lit(None).cast(fresh.schema["fresh"].dataType))
+    every = keyed.join(fresh.hint("merge"), "d", "left").unionByName(alone)
+    return every.select("d", "t", "few", "many", "fresh", *[c for c in every.columns if c == "row"])
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

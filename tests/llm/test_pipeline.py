@@ -1,14 +1,18 @@
 """The pipeline: its stages in order, each against a plain version of its own input; queries with SQL against DuckDB."""
 
 import os
+import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearweave.llm import queries
+from nearweave.llm import lines, minhash, queries, substring
 from nearweave.llm.common import materialise
 
+from nearweave.plans import tables
+
 from . import brute
 
 
@@ -42,6 +46,47 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in packed.collect()} == set(before)
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, a missing id, a repeated row, empty and long texts, and columns with names that operators use inside."""
+    docs = materialise(brute.documents(spark).withColumn("_dropped", F.lit(1)).withColumn("at", F.lit("x")))
+    texts, none = dict(brute.corpus()), docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, sf_dir).count() == 0
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert out.columns == docs.columns and all(r.row == "row" and r._dropped == 1 for r in rows)
+        got = sorted((r.doc_id, r.text) for r in rows if r.doc_id is not None)
+        if name == "quality_classifier":
+            assert {i for i, _ in got} < set(texts) and all(texts[i] == t for i, t in got)
+        if name == "line_dedup":
+            gone = brute.line_removals(texts.items())
+            want = {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+            assert sorted(got, key=str) == sorted([*want.items(), (3, want[3])], key=str)
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        if name == "minhash_near_dedup":
+            groups = brute.groups(list(texts.items()), 5, 80, 100)
+            assert [i for i, _ in got] == sorted(i for i, (_, c) in groups.items() if c == i)
+            assert sum(r.doc_id is None for r in rows) == 1
+        if name == "substring_dedup":
+            repeats = brute.repeats(texts.items())
+            assert all(len(brute.words(t)) == repeats[i][0] - repeats[i][1] for i, t in got) and len(got) == len(texts) + 1
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, none, sf_dir).count() == 0
+    assert {r.doc_id for r in pack(spark, docs, sf_dir).collect()} == {None, *texts}
+
+
+def test_operators_leave_nothing_but_what_their_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_root", lambda spark: str(tmp_path))
+    docs = brute.documents(spark, [(i, f"a line of some words {i % 3}\nand the next one") for i in range(9)])
+    for operator in (minhash.near_duplicates, lines.removal_digests, substring.removal_digests):
+        out = operator(docs)
+        assert out.count() == 9
+        read = {f.rpartition("/")[0].removeprefix("file:").replace("///", "/") for f in out.inputFiles()}
+        assert {str(p) for p in tmp_path.iterdir()} <= read
+        for p in tmp_path.iterdir():
+            shutil.rmtree(p)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
