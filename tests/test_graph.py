@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from nearweave import __main__ as command_line
 from nearweave.functions.distance import METRICS, Metric, metric
 from nearweave.operators import graph as graph_steps
 from nearweave.operators import leaf, partition
@@ -172,6 +173,16 @@ def test_adjacency_text_keeps_order(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "e")).count() == 60
 
 
+def test_command_line(spark, tmp_path):
+    lines = "\n".join(f"{i} " + " ".join(map(str, v)) for i, v in enumerate(RNG.normal(size=(40, 3)).round(3).tolist()))
+    (tmp_path / "in.txt").write_text(lines)
+    for words in (["forest", "--alpha", "20", "--rho", "3", "--tau", "0.5"], ["descent", "--sample", "1", "--et", "0.1"], ["exact", "--metric", "l1"]):
+        out = str(tmp_path / words[0])
+        command_line.build(spark, command_line.arguments([*words, "--input", str(tmp_path / "in.txt"), "--dim", "3", "--k", "4", "--output", out]))
+        assert read_adjacency_text(spark, out).groupBy("u").count().filter("count = 4").count() == 40
+    assert command_line.arguments(["forest", "--input", "x"]).alpha == 150_000
+
+
 def test_user_metrics(spark):
     chebyshev = Metric("max", lambda a, b: None, lambda a, b: np.abs(a - b).max(-1), lambda a, b: np.abs(a[:, None] - b[None]).max(-1))
     got = edges(exact_knn(frame(spark, [[0, 0], [3, 1], [2, 2]]), 1, chebyshev))
