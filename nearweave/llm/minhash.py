@@ -355,3 +355,21 @@ def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100),
         told = told.filter((F.col("d") != LOWEST) | F.col("held").isNull())
         first = told.groupBy("d", "n", "s1", "s2").agg(F.min("at").alias("at"))
         return single.join(again, "d", "left_anti").select("row.*").unionByName(tables.keep(several.join(first.select("at"), "at", "left_semi").select("row.*")))
+
+
+def oracle_sql(k: int = 3, share: tuple[int, int] = (85, 100)) -> str:
+    """All pairs that share a shingle, and what each document reaches; for small tables."""
+    num, den = share
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS a FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(a[s:s + {k - 1}], ' ') AS g
+  FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - {k - 2}, 2))) AS s FROM w WHERE len(a) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE {den} * c >= {num} * (p.n + q.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(least.b, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(least.b, w.doc_id)) AS kept
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = w.doc_id"""

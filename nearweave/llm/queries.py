@@ -64,7 +64,9 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
+    "op2_substring_dedup": substring.oracle_sql(),
     "op6_line_dedup": lines.oracle_sql(),
+    "op10_minhash": minhash.oracle_sql(),
     "op3_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0

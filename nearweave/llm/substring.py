@@ -326,3 +326,17 @@ def rewrite(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     located = _located(docs, window, (F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),))
     out = located.mapInArrow(run, T.StructType([T.StructField("row", located.schema["row"].dataType), T.StructField("new_text", T.StringType())]))
     return out.select(*[F.col("new_text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """All windows as texts; for small tables."""
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS a FROM documents),
+starts AS (SELECT doc_id, a, unnest(range(1, len(a) - {window - 2})) AS s FROM w WHERE len(a) >= {window}),
+windows AS (SELECT doc_id, s, array_to_string(a[s:s + {window - 1}], ' ') AS k FROM starts),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {window})) AS i FROM later),
+words AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM w)
+SELECT w.doc_id, len(w.a)::BIGINT AS n_words, count(gone.i) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i GROUP BY w.doc_id, len(w.a)"""
