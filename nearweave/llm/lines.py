@@ -35,7 +35,7 @@ SEPARATOR = r"[ \t\x0B\f\r]+"
 BITS = 20
 BUCKETS = 1 << BITS
 #: Rows of a word's group in which all meet.
-GROUP = 1024
+GROUP = 256
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
 #: A word is its rarity (a third of a power of two) on top of these bits of its hash.
@@ -82,13 +82,13 @@ def _bits(half: int) -> Column:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Lines: d, ln, digest c1 and c2 of the set, n, bitmaps b0 and b1, prefix from rare to common."""
+    """Lines: d, ln, digest c of the set, n, bitmaps b0 and b1 (which are digests, too), prefix from rare to common."""
     placed = lambda h: h.bitwiseXOR(F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")))
     # The array r stands in one place only, so that it becomes a constant there and never a part of rows.
     lines = _lines(docs).withColumn("r", _rarities(docs)).select("d", "ln", F.sort_array(F.transform(_hashes(F.col("line")), placed)).alias("a"))
     n = F.size("a")
     prefix = F.when(n > 3, F.slice("a", 1, n - F.ceil(n * 4 / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
-    return lines.select("d", "ln", F.xxhash64("a").alias("c1"), F.xxhash64(F.lit(1), "a").alias("c2"), n.alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), prefix.alias("prefix"))
+    return lines.select("d", "ln", F.xxhash64("a").alias("c"), n.alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), prefix.alias("prefix"))
 
 
 def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _refined(large: DataFrame, every: DataFrame) -> DataFrame:
 def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """d, ln of all lines with words; d, ln of those that stay."""
     every = tables.settle(_sets(docs)).filter("n > 0")
-    firsts = tables.settle(every.groupBy("c1", "c2").agg(F.min(F.struct("d", "ln")).alias("s")).select("s.*").distinct())
+    firsts = tables.settle(every.groupBy("c", "b0", "b1").agg(F.min(F.struct("d", "ln")).alias("s")).select("s.*").distinct())
     found = tables.settle(_met(_of(every, firsts)))
     pairs, large = found.filter("e is not null").select("d", "ln", "e", "em", "far"), found.filter("large").select(*_ROW).distinct()
     gone = _matched(tables, docs, pairs)
