@@ -3,7 +3,7 @@
 A line is the set of its words. A line goes if an earlier line (smaller doc_id, or same document and smaller line
 number) has a Jaccard similarity of at least 4/5 with it, whether or not that one stays. Steps:
 
-1. Word counts over the corpus, in BUCKETS hash buckets, give every word a rarity, and words one order from rare to
+1. Word counts over the corpus, in 2 ** BITS hash buckets, give every word a rarity, and words one order from rare to
    common (equal rarities: by hash). The order only steers the work, any order gives the same result.
 2. Lines with equal sets form a class, for which its first line stands; the others have an earlier equal line and go.
 3. Prefix filter: two sets with that similarity share a word among their rarest n - ceil(4n/5) + 1. A row for each of
@@ -32,8 +32,8 @@ from ..plans.tables import Tables
 from .common import FILTERED, LOWEST, constant, id_filter, lowest_id, may_hold, partitions, zeros
 
 SEPARATOR = r"[ \t\x0B\f\r]+"
+#: Buckets of words, as a power of two.
 BITS = 20
-BUCKETS = 1 << BITS
 #: Rows of a word's group in which all meet.
 GROUP = 256
 #: Rows of one word that are dealt together, at most (by the bucket's count).

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nearweave.plans.tables import Tables
-from nearweave.llm import bpe, components, licenses, lines, media, minhash, packing, quality, queries, substring, tokencounts, topk
+from nearweave.llm import bpe, common, components, licenses, lines, media, minhash, packing, quality, queries, substring, tokencounts, topk
 
 from . import brute
 
@@ -388,6 +388,34 @@ def test_line_dedup_in_salted_parts_and_large_groups(docs, monkeypatch):
     assert {i: got[i].n_removed for i in TEXT} == {i: len(x) for i, x in want.items()}
 
 
+def test_line_dedup_where_filters_tell_too_few_ids_apart(docs, monkeypatch):
+    monkeypatch.setattr(lines, "FILTERED", 3)
+    monkeypatch.setattr(common, "FILTER", 2)
+    got, want = by_id(lines.removal_digests(docs)), brute.line_removals(TEXT.items())
+    assert {i: got[i].n_removed for i in TEXT} == {i: len(x) for i, x in want.items()}
+
+
+def test_line_dedup_of_many_similar_lines(spark, monkeypatch):
+    """A template that thousands of lines share, in which few are near, and copies of one line."""
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(12)]
+    rows = []
+    for i in range(400):
+        words = template + [f"v{r.randrange(30)}" for _ in range(4)]
+        rows.append((i, " ".join(words) + "\nthe same line in every document of this table"))
+    monkeypatch.setattr(lines, "GROUP", 20)
+    got, want = by_id(lines.removal_digests(brute.documents(spark, rows))), brute.line_removals(rows)
+    assert {i: got[i].n_removed for i, _ in rows} == {i: len(x) for i, x in want.items()}
+
+
+def test_token_counts_refuse_ids_that_do_not_fit(spark):
+    table = brute.documents(spark, [(1, "a")])
+    with pytest.raises(ValueError):
+        tokencounts.token_counts(table, RANKS, 1 << 16)
+    with pytest.raises(Exception, match="separator"):
+        tokencounts.token_counts(table, RANKS, int(bpe.codec(RANKS).encode(["a"])[0][0]))
+
+
 def test_token_counts(docs, empty, tik):
     got = by_id(tokencounts.token_counts(docs, RANKS, 50256, block=1000))
     assert {i: got[i].n_tokens for i in TEXT} == {i: len(tik.encode_ordinary(t or "")) for i, t in TEXT.items()}
