@@ -153,11 +153,12 @@ def fit(numbers: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int =
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, share)
-    mean, scale = numbers.mean(0), numbers.std(0) + 1e-3
-    x = (numbers.astype(np.float64) - mean) / scale
+    mean, scale = numbers.mean(0, dtype=np.float64).astype(np.float32), (numbers.std(0, dtype=np.float64) + 1e-3).astype(np.float32)
+    x = (numbers - mean) / scale
     r = np.random.default_rng(seed)
-    g = lambda a, b: r.normal(0, 1 / np.sqrt(a), (a, b))
-    w = {"E": g(WIDTH, HIDDEN), "e": np.zeros(HIDDEN), "V": g(HIDDEN, GATES), "U": g(HIDDEN, GATES), "a": g(GATES, 1)[:, 0], "o": g(HIDDEN, 1)[:, 0], "b": np.zeros(1)}
+    g = lambda a, b: r.normal(0, 1 / np.sqrt(a), (a, b)).astype(np.float32)
+    none = lambda n: np.zeros(n, np.float32)
+    w = {"E": g(WIDTH, HIDDEN), "e": none(HIDDEN), "V": g(HIDDEN, GATES), "U": g(HIDDEN, GATES), "a": g(GATES, 1)[:, 0], "o": g(HIDDEN, 1)[:, 0], "b": none(1)}
     model = Model(mean, scale, w)
     m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
     weight = np.where(labels == 1, 1.0, min(3.0, share / (1 - share)) if share > 0.5 else 1.0)
@@ -169,7 +170,7 @@ def fit(numbers: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int =
         losses.append(float(-(weight * np.where(labels == 1, np.log(p), np.log(1 - p))).sum()))
         if step > 2 * SETTLED and min(losses[-SETTLED:]) > min(losses[:-SETTLED]) - 1e-3:
             break
-        d = weight * (f["p"] - labels)
+        d = (weight * (f["p"] - labels)).astype(np.float32)
         dz = d[:, None] * w["o"]
         per = dz[f["bag"]]
         dshare = (per * f["h"]).sum(1)
