@@ -242,6 +242,14 @@ def test_partition_with_many_active_blocks(spark):
     assert set(tree.centroids) == set().union(*seen) and final <= set(tree.centroids)
 
 
+def test_partition_is_the_same_without_broadcasts(spark, monkeypatch):
+    vectors = frame(spark, RNG.normal(size=(120, 3)))
+    paths = lambda: {(r.id, r.path) for r in routed(vectors, recursive_partition(vectors, 20, 4, seed=1)).collect()}
+    sent = paths()
+    monkeypatch.setattr(partition, "SENT_IDS", 0)
+    assert paths() == sent
+
+
 def test_too_large_a_tree_is_refused_before_it_is_fetched(spark, monkeypatch):
     monkeypatch.setattr(partition, "TREE_BYTES", 100)
     with pytest.raises(ValueError):
