@@ -162,11 +162,12 @@ def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """d, ln of lines with a verified pair: the nearest partner of each line first, then all of the lines it doesn't settle."""
     named = tables.settle(pairs.select("d", "ln").union(pairs.select("e", "em")).distinct())
     sets = tables.settle(_of(_lines(docs), named).select("d", "ln", _hashes(F.col("line")).alias("h")))
-    nearest = pairs.groupBy("d", "ln").agg(F.min(F.struct("far", "e", "em")).alias("s")).select("d", "ln", "s.e", "s.em")
+    nearest = tables.settle(pairs.groupBy("d", "ln").agg(F.min(F.struct("far", "e", "em")).alias("s")).select("d", "ln", "s.e", "s.em"))
     first = tables.settle(_verified(nearest, sets))
-    rest = pairs.join(first, ["d", "ln"], "left_anti").select("d", "ln", "e", "em").distinct()
-    out = tables.settle(first.union(_verified(rest, sets)))
-    tables.drop(named, sets, first)
+    open_lines = tables.settle(nearest.select("d", "ln").join(first, ["d", "ln"], "left_anti"))
+    rest = _of(pairs, open_lines).select("d", "ln", "e", "em").distinct()
+    out = tables.settle(first.union(_verified(rest, sets)).distinct())
+    tables.drop(named, sets, nearest, first, open_lines)
     return out
 
 
