@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import Metric
 from ..functions.rand import derive
+from ..operators.exact import exact_leaves
 from ..operators.leaf import CUTOFF, leaf_knn
 from ..operators.partition import recursive_partition, routed
 from ..operators.topk import merge_top_k
@@ -14,24 +15,26 @@ from .history import History
 from .tables import Tables
 
 
-def epoch_lists(vectors: DataFrame, k: int, alpha: int, rho: int, seed: int, epoch: int, metric_name: str | Metric = "l2", cutoff: int = CUTOFF, trees: int = 1, history: History | None = None) -> DataFrame:
-    """u, v, d: neighbour lists inside the leaves of one epoch's partitions."""
+def epoch_lists(vectors: DataFrame, k: int, alpha: int, rho: int, seed: int, epoch: int, metric_name: str | Metric = "l2", cutoff: int | None = CUTOFF, trees: int = 1, history: History | None = None) -> DataFrame:
+    """u, v, d: neighbour lists inside the leaves of one epoch's partitions; without a cutoff every leaf is solved exactly."""
     found = None
     for tree in range(trees):
         own = derive(seed, epoch, tree)
         report = None if history is None else lambda level, sizes: history.level(epoch, level, sizes)
-        part = leaf_knn(routed(vectors, recursive_partition(vectors, alpha, rho, own, metric_name, report=report)), k, metric_name, cutoff, own)
+        leaves = routed(vectors, recursive_partition(vectors, alpha, rho, own, metric_name, report=report))
+        part = exact_leaves(leaves, k, metric_name) if cutoff is None else leaf_knn(leaves, k, metric_name, cutoff, own)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def forest_knn(
     vectors: DataFrame, k: int = 30, alpha: int = 150_000, rho: int = 15, tau: float = 0.01, seed: int = 0, metric_name: str | Metric = "l2",
-    max_epochs: int = 100, cutoff: int = CUTOFF, trees: int = 1, history: History | None = None,
+    max_epochs: int = 100, cutoff: int | None = CUTOFF, trees: int = 1, history: History | None = None,
 ) -> DataFrame:
     """u, v, d, is_new: the graph when at most tau * n * k entries changed in an epoch, or after max_epochs.
 
-    Lists are shorter than k where fewer neighbours were met; a node that was alone in every leaf has no rows.
+    Lists are shorter than k where fewer neighbours were met; a node that was alone in every leaf has no rows. A single leaf
+    without a cutoff gives the exact graph, which a second epoch can't change.
     """
     n = vectors.count()
     k = max(0, min(k, n - 1))
@@ -47,6 +50,6 @@ def forest_knn(
             rows, changes = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("is_new").cast("long")), F.lit(0))).first()
             if history is not None:
                 history.add("forest", epoch, 0, rows, changes)
-            if changes <= limit:
+            if changes <= limit or cutoff is None and n <= alpha:
                 break
         return tables.keep(graph)

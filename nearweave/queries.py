@@ -245,7 +245,8 @@ def change_count(spark, sf_dir):
 
 @_query(f"WITH {V}, {_sql_exact()} {_RANKED}")
 def forest_single_leaf(spark, sf_dir):
-    return _ranked(forest_knn(_vectors(spark, sf_dir), K, alpha=150_000, rho=15, tau=0.01, seed=SEED))
+    vectors = _vectors(spark, sf_dir)
+    return _ranked(forest_knn(vectors, K, alpha=max(150_000, vectors.count()), rho=15, tau=0.01, seed=SEED, cutoff=None))
 
 
 def _epoch(name: str, epoch: int) -> str:

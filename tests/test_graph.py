@@ -3,6 +3,8 @@
 import shutil
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from nearweave import __main__ as command_line
 from nearweave.functions.distance import METRICS, Metric, metric
 from nearweave.operators import graph as graph_steps
-from nearweave.operators import leaf, partition
+from nearweave.operators import exact, leaf, partition
 from nearweave.operators.exact import exact_knn, exact_knn_expression
 from nearweave.operators.graph import dense_index, local_join, offers, random_graph, random_neighbors
 from nearweave.operators.leaf import brute_force, local_descent, solve_block
@@ -23,6 +25,7 @@ from nearweave.plans.engine import KnnGraph
 from nearweave.plans.forest import forest_knn
 from nearweave.plans import tables
 from nearweave.plans.tables import shared_root
+from nearweave.queries import QUERIES
 from nearweave.sources.vectors import read_adjacency_text, read_vectors_text
 
 
@@ -282,3 +285,21 @@ def test_block_solver_matches_brute_force(n, k, seed):
     ids = r.permutation(1000)[:n]
     u, v, d = solve_block(ids, x, k, METRICS["l2"], 100, 0)
     assert dict(zip(zip(u.tolist(), v.tolist()), d.tolist())).keys() == truth(x, ids.tolist(), k).keys()
+
+
+def test_single_leaf_is_exact_at_any_size(spark, tmp_path):
+    x = RNG.normal(size=(leaf.CUTOFF + 100, 24)).astype(np.float32)
+    rows = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.reshape(-1), 24).cast(pa.list_(pa.float32()))})
+    pq.write_table(rows, tmp_path / "embeddings.parquet")
+    got, want = (QUERIES[name](spark, str(tmp_path)) for name in ("forest_single_leaf", "exact_knn_l2"))
+    assert got.count() == 10 * len(x) and got.exceptAll(want).isEmpty()
+
+
+def test_exact_leaves_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 200)
+    x = RNG.normal(size=(40, 4))
+    v = frame(spark, x)
+    whole = forest_knn(v, 3, alpha=40, rho=3, cutoff=None)
+    assert edges(whole).keys() == truth(x, range(40), 3).keys()
+    parts = [forest_knn(v, 3, alpha=12, rho=3, tau=0, max_epochs=2, cutoff=c).select("u", "v") for c in (None, 100)]
+    assert set(parts[0].collect()) == set(parts[1].collect())
