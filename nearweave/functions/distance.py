@@ -60,7 +60,8 @@ def _short_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Metric:
     """``column``: expression on two array columns; ``rows``: kernel on aligned rows; ``table``: all pairs, in the same
-    order as the distance but not always the distance itself nor exact to the last bit (for short lists)."""
+    order as the distance but not always the distance itself nor exact to the last bit (for short lists). A table in single
+    precision is right but for one rounding of its largest value for each dimension and one more."""
 
     name: str
     column: Callable[[Column, Column], Column]
@@ -68,10 +69,33 @@ class Metric:
     table: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+#: Rows and columns of a part of a table that stays in a core's cache while the dimensions are summed.
+_PART = 8, 2048
+#: Vectors below this, if single precision holds them, are summed in it.
+_SINGLE = 1e30
+
+
+def _single(x: np.ndarray) -> bool:
+    y = np.abs(x)
+    return bool((y <= _SINGLE).all() and (x.astype(np.float32) == x).all() and not ((y > 0) & (y < 1 / _SINGLE)).any())
+
+
 def _table_l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        out += np.abs(a[:, i, None] - b[None, :, i])
+    kind = np.float32 if _single(a) and _single(b) else np.float64
+    a, columns, out = a.astype(kind), np.ascontiguousarray(b.T, kind), np.zeros((len(a), len(b)), kind)
+    rows, width = _PART
+    difference, total = np.empty((2, rows, width), kind)
+    for j in range(0, len(b), width):
+        part = columns[:, j : j + width]
+        for i in range(0, len(a), rows):
+            x = a[i : i + rows, :, None]
+            d, t = difference[: len(x), : part.shape[1]], total[: len(x), : part.shape[1]]
+            t[:] = 0
+            for z in range(a.shape[1]):
+                np.subtract(x[:, z], part[z], out=d)
+                np.abs(d, out=d)
+                t += d
+            out[i : i + rows, j : j + width] = t
     return out
 
 

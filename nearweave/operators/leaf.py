@@ -29,11 +29,12 @@ def brute_force(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarr
     for a in range(0, len(x) if len(y) else 0, step):
         tile, ids = x[a : a + step], x_ids[a : a + step]
         near = m.table(tile, y)
+        rounding = 1e-9 if near.dtype == np.float64 else (x.shape[1] + 2) * float(np.finfo(near.dtype).eps)
         near[ids[:, None] == y_ids[None, :]] = np.inf
         kth = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
         real = np.isfinite(near)
         finite = np.where(np.isfinite(kth), kth, np.where(real, near, 0).max(1))
-        slack = 1e-9 * (1 + np.abs(np.where(real, near, 0)).max(1))
+        slack = rounding * (1 + np.abs(np.where(real, near, 0)).max(1))
         row, col = np.nonzero(real & (near <= (finite + slack)[:, None]))
         d = m.rows(tile[row], y[col])
         order = np.lexsort((y_ids[col], d, row))

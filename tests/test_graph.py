@@ -303,3 +303,15 @@ def test_exact_leaves_in_blocks(spark, monkeypatch):
     assert edges(whole).keys() == truth(x, range(40), 3).keys()
     parts = [forest_knn(v, 3, alpha=12, rho=3, tau=0, max_epochs=2, cutoff=c).select("u", "v") for c in (None, 100)]
     assert set(parts[0].collect()) == set(parts[1].collect())
+
+
+def test_l1_table_in_single_precision_loses_no_neighbour():
+    x = np.ones((300, 5), np.float32)
+    x[:, 0] += np.random.default_rng(5).permutation(300).astype(np.float32) * np.float32(2**-23)  # neighbours one rounding apart
+    x[:, 1] = np.linspace(0, 1e-6, 300, dtype=np.float32)
+    x, ids = x.astype(np.float64), np.arange(300)
+    table = METRICS["l1"].table(x, x)
+    assert table.dtype == np.float32 and METRICS["l1"].table(x + 1e-12, x).dtype == np.float64
+    assert np.allclose(table, np.abs(x[:, None] - x[None]).sum(-1), rtol=1e-6, atol=0)
+    u, v, _ = brute_force(x, x, ids, ids, 4, METRICS["l1"])
+    assert set(zip(u.tolist(), v.tolist())) == truth(x, range(300), 4, "l1").keys()
