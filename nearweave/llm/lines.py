@@ -9,6 +9,7 @@ number) has a Jaccard similarity of at least 4/5 with it, whether or not that on
 3. Prefix filter: two sets with that similarity share a word among their rarest n - ceil(4n/5) + 1. A row for each of
    these words is dealt by word, and by a salt as well where the word may occur in more than FREQUENT rows. Lines of up to
    three words have no partners but equal ones; words of buckets with one occurrence meet nothing and aren't dealt.
+   Words of a large corpus are dealt in turns, so that the shuffled rows of one turn are deleted before the next one's.
 4. In a word's group of up to GROUP rows every row meets the shorter ones, behind the length filter, the positional filter
    and a bitmap filter: the parities of a set's word hashes in 128 places differ in no more places than the sets do.
 5. Rows of larger or salted groups meet the group's first row. Those without an earlier match so far are dealt again by two
@@ -25,6 +26,8 @@ comes before all others; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ BITS = 20
 GROUP = 256
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
+#: Lines of a corpus whose words are dealt in several turns, one after the other: disk holds the shuffled rows of one only.
+MANY, TURNS = 1_000_000, 4
 #: A word is its rarity (a third of a power of two) on top of these bits of its hash.
 KEPT = 56
 
@@ -125,14 +130,14 @@ def _far() -> Column:
 _ROW = ["d", "ln", "n", "p", "b0", "b1"]
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Pairs of a line (d, ln) and an earlier one (e, em) with far; and rows of large groups (_ROW, with e where the first fits).
+def _met(rows: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Of the words that one of several turns deals: pairs of a line (d, ln) and an earlier one (e, em) with far; and rows of large groups (_ROW, with e where the first fits).
 
     In a small group the longer line meets the shorter ones that have the word among their rarest m - ceil(8m/9) + 1, as two
     sets with that similarity share 8/9 of the shorter one. In a large group every row meets the first document's.
     """
     words = rows.select("d", "ln", "n", "b0", "b1", F.size("prefix").alias("held"), F.posexplode("prefix").alias("p", "w"))
-    words = words.filter((F.col("p") < F.col("held") - 1) & (F.col("w") >= F.lit(1 << KEPT)))
+    words = words.filter((F.col("p") < F.col("held") - 1) & (F.col("w") >= F.lit(1 << KEPT)) & (F.pmod("w", F.lit(turns)) == turn))
     parts, p = _parts(F.col("w")), F.col("p") + 1
     salted = F.xxhash64("w", F.pmod(F.xxhash64("d", "ln"), parts))
     # One long as the key, so that rows are sorted by radix; rows of salted groups have negative places.
@@ -180,19 +185,24 @@ def _refined(large: DataFrame, every: DataFrame) -> DataFrame:
 
 def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """d, ln of all lines with words; d, ln of those that stay."""
-    every = tables.settle(_sets(docs)).filter("n > 0")
+    held = tables.settle(_sets(docs))
+    every = held.filter("n > 0")
     firsts = tables.settle(every.groupBy("c", "b0", "b1").agg(F.min(F.struct("d", "ln")).alias("s")).select("s.*").distinct())
-    found = tables.settle(_met(_of(every, firsts)))
+    rows = tables.settle(_of(every.filter("n > 3").select("d", "ln", "n", "b0", "b1", "prefix"), firsts))
+    every = tables.settle(every.select("d", "ln"))
+    tables.drop(held)
+    turns = TURNS if rows.count() > MANY else 1
+    found = functools.reduce(DataFrame.union, [tables.settle(_met(rows, turn, turns)) for turn in range(turns)])
     pairs, large = found.filter("e is not null").select("d", "ln", "e", "em", "far"), found.filter("large").select(*_ROW).distinct()
     gone = _matched(tables, docs, pairs)
     if not large.isEmpty():
-        refined = tables.settle(_refined(large, every))
+        refined = tables.settle(_refined(large, rows))
         rest = refined.join(gone, ["d", "ln"], "left_anti")
         same = (F.col("x.w") == F.col("y.w")) & (F.col("x.v") == F.col("y.v"))
         more = rest.alias("x").join(refined.alias("y"), same & _after() & _similar(2)).select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far"))
         more = tables.settle(more.distinct())
         gone = gone if more.isEmpty() else gone.union(_matched(tables, docs, more))
-    return every.select("d", "ln"), firsts.join(gone, ["d", "ln"], "left_anti")
+    return every, firsts.join(gone, ["d", "ln"], "left_anti")
 
 
 def _removed(docs: DataFrame) -> DataFrame:

@@ -395,6 +395,23 @@ def test_line_dedup_where_filters_tell_too_few_ids_apart(docs, monkeypatch):
     assert {i: got[i].n_removed for i in TEXT} == {i: len(x) for i, x in want.items()}
 
 
+def test_line_dedup_deals_words_in_turns(docs, monkeypatch):
+    """Every dealt row is in one turn, no turn has most of them, and the result is that of one turn."""
+    monkeypatch.setattr(lines, "MANY", 0)
+    monkeypatch.setattr(lines, "GROUP", 3)
+    met, sizes = lines._met, []
+
+    def counted(rows, turn, turns):
+        prefixes = rows.select(F.explode("prefix").alias("w"))
+        sizes.append((prefixes.filter(F.pmod("w", F.lit(turns)) == turn).count(), prefixes.count()))
+        return met(rows, turn, turns)
+
+    monkeypatch.setattr(lines, "_met", counted)
+    got, want = by_id(lines.removal_digests(docs)), brute.line_removals(TEXT.items())
+    assert {i: got[i].n_removed for i in TEXT} == {i: len(x) for i, x in want.items()}
+    assert len(sizes) == lines.TURNS and sum(n for n, _ in sizes) == sizes[0][1] and max(n for n, _ in sizes) < sizes[0][1] / 2
+
+
 def test_line_dedup_of_many_similar_lines(spark, monkeypatch):
     """A template that thousands of lines share, in which few are near, and copies of one line."""
     r = random.Random(9)
