@@ -96,46 +96,87 @@ def routed(vectors: DataFrame, tree: Tree, with_vectors: bool = True) -> DataFra
     return vectors.select("id", "vec").mapInArrow(run, kind)
 
 
-def grow_level(vectors: DataFrame, tree: Tree, alpha: int, rho: int, seed: int, level: int) -> dict[str, int]:
-    """Split every block that is larger than alpha; the sizes of those blocks."""
-    placed = routed(vectors, tree, with_vectors=False)
-    sizes = {r.path: r["count"] for r in placed.groupBy("path").count().filter(F.col("count") > alpha).collect()}
-    if not sizes:
+def _placed(vectors: DataFrame, trees: list[Tree], level: int) -> DataFrame:
+    """tree, path, id and the id's hash on that level, of every vector in each of the trees."""
+    held = vectors.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        for batch in batches:
+            ids, x = np.asarray(batch.column("id")), matrix(batch.column("vec"), batch.num_rows) if batch.num_rows else None
+            for i, tree in enumerate(held.value if batch.num_rows else ()):
+                cols = [pa.array(np.full(len(ids), i, np.int32)), pa.array(list(tree.route(ids, x)), pa.string()), batch.column("id"), pa.array(_np_hash(ids, derive(tree.seed, level)))]
+                yield pa.record_batch(cols, names=["tree", "path", "id", "h"])
+
+    return vectors.select("id", "vec").mapInArrow(run, "tree int, path string, id long, h long")
+
+
+def grow_level(vectors: DataFrame, trees: list[Tree], alpha: int, level: int) -> list[dict[str, int]]:
+    """Split every block that is larger than alpha, in all trees at once; for each tree the sizes of those blocks."""
+    spark, rho = vectors.sparkSession, trees[0].rho
+    placed = _placed(vectors, trees, level)
+    sizes: list[dict[str, int]] = [{} for _ in trees]
+    for r in placed.groupBy("tree", "path").count().filter(F.col("count") > alpha).collect():
+        sizes[r.tree][r.path] = r["count"]
+    blocks = [(i, path) for i, own in enumerate(sizes) for path in own]
+    if not blocks:
         return sizes
-    # Fewer than N / alpha blocks with rho centroids each: the tree's bytes are checked before any centroid is fetched.
+    # Fewer than N / alpha blocks with rho centroids each: a tree's bytes are checked before any centroid is fetched.
     width = vectors.select(F.size("vec").alias("w")).first().w
-    if tree.bytes() + 8 * rho * len(sizes) * width > TREE_BYTES:
+    if sum(tree.bytes() for tree in trees) + 8 * rho * len(blocks) * width > TREE_BYTES:
         raise ValueError("the tree of centroids is larger than may be sent to every executor: raise alpha or lower rho")
-    active = vectors.sparkSession.createDataFrame([(path,) for path in sizes], "path string")
-    if len(sizes) <= SENT_IDS:
+    active = spark.createDataFrame(blocks, "tree int, path string")
+    if len(blocks) <= SENT_IDS:
         active = F.broadcast(active)
-    chosen = sample_centroids(placed.join(active, "path", "left_semi"), rho, derive(seed, level))
-    if rho * len(sizes) <= SENT_IDS:
+    order = Window.partitionBy("tree", "path").orderBy("h", "id")
+    chosen = placed.join(active, ["tree", "path"], "left_semi").withColumn("idx", F.row_number().over(order) - 1).filter(F.col("idx") < rho).drop("h")
+    if rho * len(blocks) <= SENT_IDS:
         chosen = F.broadcast(chosen)  # so few ids that vectors needn't be shuffled to meet them
-    rows = vectors.select("id", "vec").join(chosen, "id").select("path", "idx", "vec").collect()
-    found: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.path, r.idx)):
-        found.setdefault(r.path, []).append(r.vec)
-    for path, centres in found.items():
+    rows = vectors.select("id", "vec").join(chosen, "id").select("tree", "path", "idx", "vec").collect()
+    found: dict[tuple[int, str], list] = {}
+    for r in sorted(rows, key=lambda r: (r.tree, r.path, r.idx)):
+        found.setdefault((r.tree, r.path), []).append(r.vec)
+    for (i, path), centres in found.items():
         c = np.array(centres, np.float64)
-        tree.centroids[path] = None if (c == c[0]).all() else c
-    for path, size in sizes.items():  # a block that holds all its parent's members was not split: go on by hash
-        if tree.sizes.get(path.rsplit("/", 1)[0]) == size and path != ROOT:
-            tree.centroids[path] = None
-    tree.sizes.update(sizes)
+        trees[i].centroids[path] = None if (c == c[0]).all() else c
+    for tree, own in zip(trees, sizes):
+        for path, size in own.items():  # a block that holds all its parent's members was not split: go on by hash
+            if tree.sizes.get(path.rsplit("/", 1)[0]) == size and path != ROOT:
+                tree.centroids[path] = None
+        tree.sizes.update(own)
     return sizes
 
 
 def recursive_partition(vectors: DataFrame, alpha: int, rho: int, seed: int = 0, metric_name: str | Metric = "l2", max_depth: int = 64, report: Callable[[int, dict[str, int]], None] | None = None) -> Tree:
     """A tree whose leaves hold at most alpha vectors each (unless max_depth ends it); report gets each level's split blocks."""
-    tree = Tree(metric(metric_name), rho, seed)
-    for level in range(max_depth):
-        sizes = grow_level(vectors, tree, alpha, rho, seed, level)
-        if report is not None:
+    return partition_forest(vectors, alpha, rho, [seed], metric_name, max_depth, report)[0]
+
+
+def partition_forest(vectors: DataFrame, alpha: int, rho: int, seeds: list[int], metric_name: str | Metric = "l2", max_depth: int = 64, report: Callable[[int, dict[str, int]], None] | None = None) -> list[Tree]:
+    """A tree for each seed; a level of all of them is two jobs, however many they are."""
+    trees = [Tree(metric(metric_name), rho, seed) for seed in seeds]
+    growing = trees
+    for level in range(max_depth if trees else 0):
+        grown = grow_level(vectors, growing, alpha, level)
+        for sizes in grown if report is not None else ():
             report(level, sizes)
-        if not sizes:
+        growing = [tree for tree, sizes in zip(growing, grown) if sizes]
+        if not growing:
             break
-    return tree
+    return trees
+
+
+def forest_routed(vectors: DataFrame, trees: list[Tree]) -> DataFrame:
+    """path, id and vec of every vector in each of several trees; a path begins with its tree's seed."""
+    held = vectors.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        for batch in batches:
+            ids, x = np.asarray(batch.column("id")), matrix(batch.column("vec"), batch.num_rows) if batch.num_rows else None
+            for tree in held.value if batch.num_rows else ():
+                paths = [f"{tree.seed}:{path}" for path in tree.route(ids, x)]
+                yield pa.record_batch([pa.array(paths, pa.string()), batch.column("id"), batch.column("vec")], names=["path", "id", "vec"])
+
+    return vectors.select("id", "vec").mapInArrow(run, "path string, id long, vec array<float>")
 
 
 def assign_nearest(vectors: DataFrame, centroids: DataFrame, metric_name: str | Metric = "l2") -> DataFrame:

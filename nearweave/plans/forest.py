@@ -9,7 +9,7 @@ from ..functions.distance import Metric
 from ..functions.rand import derive
 from ..operators.exact import exact_leaves
 from ..operators.leaf import CUTOFF, leaf_knn
-from ..operators.partition import recursive_partition, routed
+from ..operators.partition import forest_routed, partition_forest, routed
 from ..operators.topk import merge_top_k
 from .history import History
 from .tables import Tables
@@ -17,14 +17,11 @@ from .tables import Tables
 
 def epoch_lists(vectors: DataFrame, k: int, alpha: int, rho: int, seed: int, epoch: int, metric_name: str | Metric = "l2", cutoff: int | None = CUTOFF, trees: int = 1, history: History | None = None) -> DataFrame:
     """u, v, d: neighbour lists inside the leaves of one epoch's partitions; without a cutoff every leaf is solved exactly."""
-    found = None
-    for tree in range(trees):
-        own = derive(seed, epoch, tree)
-        report = None if history is None else lambda level, sizes: history.level(epoch, level, sizes)
-        leaves = routed(vectors, recursive_partition(vectors, alpha, rho, own, metric_name, report=report))
-        part = exact_leaves(leaves, k, metric_name) if cutoff is None else leaf_knn(leaves, k, metric_name, cutoff, own)
-        found = part if found is None else found.unionByName(part)
-    return found
+    seeds = [derive(seed, epoch, tree) for tree in range(trees)]
+    report = None if history is None else lambda level, sizes: history.level(epoch, level, sizes)
+    grown = partition_forest(vectors, alpha, rho, seeds, metric_name, report=report)
+    leaves = routed(vectors, grown[0]) if trees == 1 else forest_routed(vectors, grown)
+    return exact_leaves(leaves, k, metric_name) if cutoff is None else leaf_knn(leaves, k, metric_name, cutoff, seeds[0])
 
 
 def forest_knn(

@@ -330,3 +330,14 @@ def test_expressions_judge_few_pairs_and_lose_none(spark, monkeypatch, part):
     assert edges(exact_knn_expression(few, 5)).keys() == truth([[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]], range(3), 5).keys()
     assert exact_knn_expression(frame(spark, [[1.0, 1.0]] * 4), 2).count() == 8
     assert exact._near_pairs(frame(spark, [[1.0, float("inf")]] * 4), 2) is None and exact._near_pairs(v.limit(0), 2) is None
+
+
+def test_trees_of_an_epoch_grow_together(spark, monkeypatch):
+    v, seeds, grow, levels = frame(spark, RNG.normal(size=(60, 4))), [3, 4, 5], partition.grow_level, []
+    single = [recursive_partition(v, 12, 3, seed) for seed in seeds]
+    monkeypatch.setattr(partition, "grow_level", lambda *args: levels.append(args[-1]) or grow(*args))
+    trees = partition.partition_forest(v, 12, 3, seeds)
+    assert levels == list(range(len(levels)))
+    for a, b in zip(single, trees):
+        assert a.sizes == b.sizes and all(np.array_equal(a.centroids[p], b.centroids[p]) for p in a.centroids.keys() | b.centroids.keys())
+    assert partition.forest_routed(v, trees).count() == 180
