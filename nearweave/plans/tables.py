@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's switch that deletes an execution's shuffle files when it has ended.
@@ -37,6 +38,17 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def _released(spark: SparkSession) -> None:
+    """The driver lets go of what earlier steps leave before its heap is half full: plans, their constants, broadcasts.
+
+    Otherwise the heap grows to its bound, and stays there beside the memory that is not in it.
+    """
+    pa.default_memory_pool().release_unused()
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        spark._jvm.System.gc()
+
+
 @contextmanager
 def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """What is written inside leaves no shuffle files behind: nothing reads them once the table stands."""
@@ -92,6 +104,7 @@ def _written(df: DataFrame, path: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     with _shuffles_deleted(spark):
         df.write.option("compression", "zstd").parquet(path)
+    _released(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -341,3 +341,23 @@ def test_trees_of_an_epoch_grow_together(spark, monkeypatch):
     for a, b in zip(single, trees):
         assert a.sizes == b.sizes and all(np.array_equal(a.centroids[p], b.centroids[p]) for p in a.centroids.keys() | b.centroids.keys())
     assert partition.forest_routed(v, trees).count() == 180
+
+
+def test_driver_lets_go_once_its_heap_is_half_full():
+    calls = []
+
+    class Runtime:
+        getRuntime = staticmethod(lambda: Runtime)
+        maxMemory = staticmethod(lambda: 100)
+
+    class Spark:
+        class _jvm:
+            class java:
+                lang = type("lang", (), {"Runtime": Runtime})
+
+            System = type("System", (), {"gc": staticmethod(lambda: calls.append(1))})
+
+    for size in (40, 60):
+        Runtime.totalMemory = staticmethod(lambda: size)
+        tables._released(Spark)
+    assert len(calls) == 1
