@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def lowest_id() -> Column:
 
 
 def constant(values: DataFrame, value: Column, bits: int) -> Column:
-    """One array of 2 ** bits longs from a table with a row (k long, value) for every place k: blocks first, then the whole."""
+    """One array of 2 ** bits numbers from a table with a row (k long, value) for every place k: blocks first, then the whole."""
     blocks = values.groupBy(F.shiftright("k", bits // 2).alias("h")).agg(F.sort_array(F.collect_list(F.struct("k", value.alias("x")))).alias("x"))
     blocks = blocks.select("h", F.transform("x", lambda x: x["x"]).alias("x"))
     return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda x: x["x"])).alias("x")).scalar()
@@ -68,6 +69,21 @@ def may_hold(bits: Column, *columns: str) -> Column:
     return F.bit_get(F.element_at(bits, F.shiftright(_bit(columns), 6).cast("int") + 1), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` on the batches of a task; what its passes leave in the worker's heap goes back to the system at its end.
+
+    Workers wait for further tasks, beside whatever their executor does until then.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return task
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length + 1, from 0) of a string or binary array; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

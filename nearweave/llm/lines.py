@@ -65,13 +65,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _rarities(docs: DataFrame) -> Column:
-    """For each bucket, what turns its bits on top of a hash into the bucket's rarity, floor(3 * log2(count)), by xor."""
+    """For each bucket, what turns its bits on top of a hash into the bucket's rarity, floor(3 * log2(count)), by xor; a byte each."""
     words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
     words = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("k"), F.lit(1).cast("long").alias("c"))
     every = words.union(zeros(docs, BITS)).groupBy("k").agg(F.sum("c").alias("c"))
     rarity = F.least(F.floor(3 * F.log2(F.greatest("c", F.lit(1)))), F.lit(126)).cast("long")
     turn = F.shiftright("k", BITS + KEPT - 64).bitwiseXOR(rarity)
-    return constant(every, F.shiftleft(turn, KEPT), BITS)
+    return constant(every, F.when(turn > 127, turn - 256).otherwise(turn).cast("byte"), BITS)
 
 
 def _parts(word: Column) -> Column:
@@ -88,7 +88,7 @@ def _bits(half: int) -> Column:
 
 def _sets(docs: DataFrame) -> DataFrame:
     """Lines: d, ln, digest c of the set, n, bitmaps b0 and b1 (which are digests, too), prefix from rare to common."""
-    placed = lambda h: h.bitwiseXOR(F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")))
+    placed = lambda h: h.bitwiseXOR(F.shiftleft(F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")).cast("long"), KEPT))
     # The array r stands in one place only, so that it becomes a constant there and never a part of rows.
     lines = _lines(docs).withColumn("r", _rarities(docs)).select("d", "ln", F.sort_array(F.transform(_hashes(F.col("line")), placed)).alias("a"))
     n = F.size("a")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
-from .common import LOWEST, U64, doc_texts, gram_hashes, id_filter, lowest_id, lower_ascii, may_hold, mix, partitions, passes, raw, word_hashes, words
+from .common import LOWEST, U64, doc_texts, gram_hashes, id_filter, lower_ascii, lowest_id, may_hold, mix, partitions, passes, raw, released, word_hashes, words
 from .components import connected_components
 
 #: Shingles of a cluster that meet in one task, at most.
@@ -96,7 +96,7 @@ def sketch(docs: DataFrame, k: int, size: int) -> DataFrame:
                 sig = [x.tobytes() for x in signatures(shingles, bounds, size)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary())], names=["doc_id", "n", "s1", "s2", "sig"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig binary")
+    return doc_texts(docs).mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, sig binary")
 
 
 def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -113,7 +113,7 @@ def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
             ids = np.repeat(np.array(batch.column(0)), bands)
             yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "key long, id long")
+    return reps.select("id", "sig").mapInArrow(released(run), "key long, id long")
 
 
 def _shared(bands: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _low(reps: DataFrame) -> DataFrame:
             sig = np.ascontiguousarray(np.frombuffer(body.tobytes(), np.uint32).reshape(batch.num_rows, -1).astype(np.uint8))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "n", "low"])
 
-    return reps.select("id", "n", "sig").mapInArrow(narrow, "id long, n long, low binary")
+    return reps.select("id", "n", "sig").mapInArrow(released(narrow), "id long, n long, low binary")
 
 
 def _share(agree: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
     low = _low(reps).drop("n")
     both = pairs.join(low.withColumnsRenamed({"id": "u", "low": "lu"}), "u").join(low.withColumnsRenamed({"id": "v", "low": "lv"}), "v")
-    return both.select("u", "v", "lu", "lv").mapInArrow(compare, "u long, v long")
+    return both.select("u", "v", "lu", "lv").mapInArrow(released(compare), "u long, v long")
 
 
 def united(side: np.ndarray, n: np.ndarray, cluster: np.ndarray, low: np.ndarray, least: float, share: tuple[int, int]) -> list[tuple[int, int]]:
@@ -221,7 +221,7 @@ def _between(shared: DataFrame, clusters: DataFrame, reps: DataFrame, least: flo
         if len(held) > 1:
             yield close()
 
-    return dealt.repartition(partitions(shared), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long")
+    return dealt.repartition(partitions(shared), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(meet), "u long, v long")
 
 
 def linked(ids: np.ndarray, shingles: np.ndarray, bounds: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
@@ -298,8 +298,8 @@ def _confirmed(docs: DataFrame, members: DataFrame, k: int, share: tuple[int, in
     kind = "cluster long, i int, j int, id long, shingles binary"
     # Texts of no cluster are left out by a filter of fixed size before any text is shuffled.
     texts = doc_texts(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "id")
-    texts = texts.filter(may_hold(id_filter(members, "id"), "id")).join(placed.hint("merge"), "id").select("cluster", "i", "j", "id", "text").mapInArrow(sets, kind)
-    return texts.repartition(partitions(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(meet, "u long, v long")
+    texts = texts.filter(may_hold(id_filter(members, "id"), "id")).join(placed.hint("merge"), "id").select("cluster", "i", "j", "id", "text").mapInArrow(released(sets), kind)
+    return texts.repartition(partitions(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(released(meet), "u long, v long")
 
 
 def _grouped(tables: Tables, docs: DataFrame, k: int, share: tuple[int, int], bands: int, rows: int) -> tuple[DataFrame, DataFrame]:

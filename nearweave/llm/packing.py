@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _classes, boundaries, byte_places
-from .common import PASS_BYTES, doc_texts, materialise, passes, raw, words
+from .common import PASS_BYTES, doc_texts, materialise, passes, raw, released, words
 from .merging import PairTable, distinct, merge, ragged
 
 _PLAIN = np.zeros(0x130, bool)
@@ -142,7 +142,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
                 )
                 total += int(bounds[-1])
 
-    return doc_texts(docs).mapInArrow(run, "part int, begins long, doc_id long, n_tokens long, ids binary")
+    return doc_texts(docs).mapInArrow(released(run), "part int, begins long, doc_id long, n_tokens long, ids binary")
 
 
 def cut(streams: DataFrame, window: int = 2048) -> DataFrame:
@@ -171,7 +171,7 @@ def cut(streams: DataFrame, window: int = 2048) -> DataFrame:
             ids = pa.array(doc[row], pa.int64()) if batch.column(2).null_count == 0 else batch.column(2).take(pa.array(row))
             yield pa.record_batch([ids, *(pa.array(x, pa.int64()) for x in (begin - place[row], end - begin, crc, n[row], begin // window, begin % window))], names=names)
 
-    return streams.select("part", "begins", "doc_id", "n_tokens", "ids").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return streams.select("part", "begins", "doc_id", "n_tokens", "ids").mapInArrow(released(run), ", ".join(f"{x} long" for x in names))
 
 
 def concat_and_cut(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PASS_BYTES, U64, doc_texts, lower_ascii, passes, raw, word_hashes, words
+from .common import U64, doc_texts, lower_ascii, passes, raw, released, word_hashes, words
 from .merging import ragged
 
 #: Labelled documents that the model is fitted to, at most.
@@ -30,6 +30,8 @@ SAMPLE = 6000
 PASSAGE = 64
 #: Passages of a document that the model is fitted to, at most.
 TRAINED = 32
+#: Bytes of text in one pass: its numbers take some fifty times as many.
+PASS = 1 << 19
 HIDDEN, GATES = 24, 12
 #: Training ends when SETTLED epochs lower the mean loss by less than a thousandth, or after EPOCHS.
 EPOCHS, SETTLED = 1000, 40
@@ -205,14 +207,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches):
         for batch in batches:
             body, offsets = raw(batch.column(1))
-            for a, b in passes(offsets, PASS_BYTES):
+            for a, b in passes(offsets, PASS):
                 numbers, first = passage_numbers(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 bags = []
                 for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
                     bags.append(numbers[x:y] if y - x <= TRAINED else numbers[x + np.arange(TRAINED) * (y - x) // TRAINED])
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "numbers"])
 
-    found = texts.mapInArrow(run, "doc_id long, quality int, numbers binary")
+    found = texts.mapInArrow(released(run), "doc_id long, quality int, numbers binary")
     rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", "numbers")).alias("s")).select("doc_id", "s.*").toLocalIterator()  # one row for a doc_id
     rows = sorted(rows, key=lambda r: r.doc_id)
     parts = [np.frombuffer(r.numbers, np.float32).reshape(-1, WIDTH) for r in rows]
@@ -227,11 +229,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             body, offsets = raw(batch.column(1))
-            for a, b in passes(offsets, PASS_BYTES):
+            for a, b in passes(offsets, PASS):
                 numbers, first = passage_numbers(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(held.value.score(numbers, first), pa.float64())], names=["doc_id", "score"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, score double")
+    return doc_texts(docs).mapInArrow(released(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -248,10 +250,10 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     def run(batches):
         for batch in batches:
             body, offsets = raw(batch.column(0))
-            for a, b in passes(offsets, PASS_BYTES):
+            for a, b in passes(offsets, PASS):
                 numbers, first = passage_numbers(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 good = pa.array(held.value.score(numbers, first) >= threshold)
                 yield pa.record_batch([batch.column(1).slice(a, b - a).filter(good)], names=["row"])
 
-    kept = rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType)]))
+    kept = rows.mapInArrow(released(run), T.StructType([T.StructField("row", rows.schema["row"].dataType)]))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

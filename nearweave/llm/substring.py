@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.tables import Tables
-from .common import LOWEST, U64, gram_hashes, id_filter, lowest_id, may_hold, mix, partitions, passes, raw, word_hashes, words
+from .common import LOWEST, U64, gram_hashes, id_filter, lowest_id, may_hold, mix, partitions, passes, raw, released, word_hashes, words
 from .merging import ragged
 
 WINDOW, GRAM = 20, 5
@@ -100,7 +100,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                     head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
                     yield pa.record_batch([pa.array(key[head]), pa.array(ids[a:b][doc[head]]), pa.array(np.diff(np.append(head, len(doc))))], names=["key", "d", "c"])
 
-    return docs.mapInArrow(run, "key long, d long, c long")
+    return docs.mapInArrow(released(run), "key long, d long, c long")
 
 
 def _repeated(docs: DataFrame, window: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _segments(keyed: DataFrame, window: int) -> DataFrame:
                     names=["route", "c1", "c2", "d", "h", "start", "words"],
                 )
 
-    return keyed.mapInArrow(run, _SEGMENT)
+    return keyed.mapInArrow(released(run), _SEGMENT)
 
 
 def _sequence(body: bytes) -> list[int]:
@@ -243,7 +243,7 @@ def _fresh(segments: DataFrame, window: int) -> DataFrame:
         cols = list(zip(*rows)) or [()] * 4
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["d", "h", "start", "n"])
 
-    return dealt.mapInArrow(run, "d long, h long, start long, n long")
+    return dealt.mapInArrow(released(run), "d long, h long, start long, n long")
 
 
 def _kept(batch: pa.RecordBatch, window: int):
@@ -307,7 +307,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 lost = np.concatenate([[0], np.cumsum(gone)])[p.heads]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(p.heads)), pa.array(np.diff(lost)), pa.array(digests, pa.string())], names=["d", "n_words", "n_removed", "kept_sha256"])
 
-    out = _located(docs, window).mapInArrow(run, "d long, n_words long, n_removed long, kept_sha256 string")
+    out = _located(docs, window).mapInArrow(released(run), "d long, n_words long, n_removed long, kept_sha256 string")
     return out.select(F.when(F.col("d") != LOWEST, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
@@ -324,7 +324,7 @@ def rewrite(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.record_batch([batch.column(5).slice(a, b - a), pa.array(texts, pa.string())], names=["row", "new_text"])
 
     located = _located(docs, window, (F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),))
-    out = located.mapInArrow(run, T.StructType([T.StructField("row", located.schema["row"].dataType), T.StructField("new_text", T.StringType())]))
+    out = located.mapInArrow(released(run), T.StructType([T.StructField("row", located.schema["row"].dataType), T.StructField("new_text", T.StringType())]))
     return out.select(*[F.col("new_text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

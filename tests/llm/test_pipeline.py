@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearweave.llm import lines, minhash, queries, substring
+from nearweave.llm import common, lines, minhash, queries, substring
 from nearweave.llm.common import materialise
 
 from nearweave.plans import tables
@@ -75,6 +75,35 @@ def test_stages_on_odd_rows(spark, sf_dir):
     assert {r.doc_id for r in pack(spark, docs, sf_dir).collect()} == {None, *texts}
 
 
+def test_workers_hand_back_what_a_task_left():
+    """Idle workers stay beside the next stage: blocks freed below one that is still held would stay in their heap."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+    held = []
+
+    def run(batches):
+        for n in batches:
+            blocks = [bytearray(b"x" * 60_000) for _ in range(n)]
+            held.append(bytearray(b"y" * 60_000))
+            yield len(blocks)
+
+    before = resident()
+    assert list(common.released(run)(iter([3000]))) == [3000]
+    assert held and resident() < before + 60
+
+
+def test_stages_deal_small_batches_to_workers(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    docs = brute.documents(spark, [(i, f"text number {i}") for i in range(20)])
+    try:
+        for given, want in ((held, corpus_pipeline.BATCH), (0, corpus_pipeline.BATCH), (7, 7)):
+            spark.conf.set(key, given)
+            out = corpus_pipeline.concat_and_cut(spark, docs, sf_dir)
+            assert int(spark.conf.get(key)) == want and out.select("doc_id").distinct().count() == 20
+    finally:
+        spark.conf.set(key, held)
+
+
 def test_operators_leave_nothing_but_what_their_result_reads(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "shared_root", lambda spark: str(tmp_path))
     docs = brute.documents(spark, [(i, f"a line of some words {i % 3}\nand the next one") for i in range(9)])
