@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import free_pages
 from ..plans.tables import settle as materialise  # noqa: F401  cuts lineage with a written table
 
 #: Bytes of text handled by one numpy pass; a longer single document forms a pass of its own.
@@ -77,9 +77,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
 
     def task(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        free_pages()
 
     return task
 

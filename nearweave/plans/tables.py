@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's switch that deletes an execution's shuffle files when it has ended.
@@ -38,15 +40,37 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_pages() -> None:
+    """This Python's C heap hands its free pages back to the system, where its library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _free_jvm_pages(spark: SparkSession) -> None:
+    """The same for the C heap of the driver's JVM, where that has the command (jcmd's System.trim_native_heap)."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # The server's own class isn't public, so its method is called by way of the interface.
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = name, "systemTrimNativeHeap"
+    with suppress(Py4JJavaError):
+        invoke.invoke(server, args)
+
+
 def _released(spark: SparkSession) -> None:
     """The driver lets go of what earlier steps leave before its heap is half full: plans, their constants, broadcasts.
 
-    Otherwise the heap grows to its bound, and stays there beside the memory that is not in it.
+    Otherwise the heap grows to its bound, and stays there beside the memory that is not in it; that, too, keeps what
+    compiling and sending tasks leave.
     """
-    pa.default_memory_pool().release_unused()
+    free_pages()
     heap = spark._jvm.java.lang.Runtime.getRuntime()
     if 2 * heap.totalMemory() > heap.maxMemory():
         spark._jvm.System.gc()
+    _free_jvm_pages(spark)
 
 
 @contextmanager

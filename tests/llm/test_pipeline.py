@@ -1,7 +1,9 @@
 """The pipeline: its stages in order, each against a plain version of its own input; queries with SQL against DuckDB."""
 
+import gc
 import os
 import shutil
+import time
 
 import duckdb
 import pytest
@@ -91,6 +93,23 @@ def test_workers_hand_back_what_a_task_left():
     assert held and resident() < before + 60
 
 
+def test_driver_hands_back_what_its_jvm_left(spark):
+    """Buffers outside the Java heap, most of which are freed; the others keep their pages from going back by themselves."""
+    jvm = spark._jvm
+    pid = jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getName().split("@")[0]
+    resident = lambda: int(open(f"/proc/{pid}/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(60_000) for _ in range(4000)]
+    held = buffers[::50]
+    del buffers
+    gc.collect()
+    for _ in range(4):
+        time.sleep(0.5)
+        jvm.System.gc()
+    before = resident()
+    tables._free_jvm_pages(spark)
+    assert held and resident() < before - 100
+
+
 def test_stages_deal_small_batches_to_workers(spark, sf_dir):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = spark.conf.get(key)
