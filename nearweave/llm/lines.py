@@ -11,7 +11,8 @@ number) has a Jaccard similarity of at least 4/5 with it, whether or not that on
    three words have no partners but equal ones; words of buckets with one occurrence meet nothing and aren't dealt.
    Words of a large corpus are dealt in turns, so that the shuffled rows of one turn are deleted before the next one's.
 4. In a word's group of up to GROUP rows every row meets the shorter ones, behind the length filter, the positional filter
-   and a bitmap filter: the parities of a set's word hashes in 128 places differ in no more places than the sets do.
+   and a bitmap filter: the parities of a set's word hashes in 64 places (128 for long sets) differ in no more places than the
+   sets do.
 5. Rows of larger or salted groups meet the group's first row. Those without an earlier match so far are dealt again by two
    words, the group's and a later one of the prefix, which is longer by one word for that; similar sets share both.
 6. Pairs that pass are verified on the full sets, which are built anew for lines in pairs only; first the nearest partner
@@ -32,17 +33,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
-from .common import FILTERED, LOWEST, constant, id_filter, lowest_id, may_hold, partitions, zeros
+from .common import FILTERED, LOWEST, constant, id_filter, lowest_id, materialise, may_hold, partitions, zeros
 
 SEPARATOR = r"[ \t\x0B\f\r]+"
 #: Buckets of words, as a power of two.
 BITS = 20
+#: Buckets that are counted in one row, as a power of two.
+SPREAD = 4
 #: Rows of a word's group in which all meet.
 GROUP = 256
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
 #: Lines of a corpus whose words are dealt in several turns, one after the other: disk holds the shuffled rows of one only.
 MANY, TURNS = 1_000_000, 4
+#: Sets of more words have a bitmap of 128 places, others one of 64.
+LONG = 64
 #: A word is its rarity (a third of a power of two) on top of these bits of its hash.
 KEPT = 56
 
@@ -64,11 +69,28 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line") != "")
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """k, c: words in each of 2 ** BITS buckets of hashes, of whole texts at once; a bucket may have several rows or none.
+
+    A row of a task's table holds 2 ** SPREAD buckets, two to a sum, so that the table stays small; they are parted before
+    tasks meet, so a sum never holds more than one task's words.
+    """
+    text, low = F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1 << SPREAD
+    words = docs.select(F.explode(_words(text)).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("k"))
+    place = F.col("k").bitwiseAND(F.lit(low - 1).cast("long")).cast("int")
+    one = F.when(place.bitwiseAND(1) == 0, F.lit(1).cast("long")).otherwise(F.lit(1 << 32))
+    pairs = [F.sum(F.when(F.shiftright(place, 1) == i, one).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(low // 2)]
+    key = F.shiftright("k", SPREAD).bitwiseOR(F.shiftleft(F.spark_partition_id().cast("long"), BITS))
+    rows = words.groupBy(key.alias("h")).agg(*pairs).withColumn("h", F.col("h").bitwiseAND(F.lit((1 << BITS) - 1).cast("long")))
+    parts = [part.alias(f"c{2 * i + j}") for i in range(low // 2) for j, part in enumerate((F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"s{i}", 32)))]
+    # A table, as the number of a task would keep what follows from becoming a constant.
+    sums = materialise(rows.select("h", *parts).groupBy("h").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(low)]))
+    return sums.select("h", F.posexplode(F.array(*[f"c{i}" for i in range(low)])).alias("i", "c")).select((F.col("h") * low + F.col("i")).alias("k"), "c")
+
+
 def _rarities(docs: DataFrame) -> Column:
     """For each bucket, what turns its bits on top of a hash into the bucket's rarity, floor(3 * log2(count)), by xor; a byte each."""
-    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
-    words = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("k"), F.lit(1).cast("long").alias("c"))
-    every = words.union(zeros(docs, BITS)).groupBy("k").agg(F.sum("c").alias("c"))
+    every = _counted(docs).union(zeros(docs, BITS)).groupBy("k").agg(F.sum("c").alias("c"))
     rarity = F.least(F.floor(3 * F.log2(F.greatest("c", F.lit(1)))), F.lit(126)).cast("long")
     turn = F.shiftright("k", BITS + KEPT - 64).bitwiseXOR(rarity)
     return constant(every, F.when(turn > 127, turn - 256).otherwise(turn).cast("byte"), BITS)
@@ -80,20 +102,25 @@ def _parts(word: Column) -> Column:
     return F.when(rarity >= 3 * (FREQUENT.bit_length() - 1), F.ceil(F.pow(F.lit(2.0), (rarity + 1) / 3) / FREQUENT).cast("int")).otherwise(1)
 
 
-def _bits(half: int) -> Column:
-    """Parities of the words of a set in 64 of 128 places."""
-    place = F.array(*(F.lit(1 << i - 64 * half if i // 64 == half and i % 64 < 63 else -(1 << 63) if i // 64 == half else 0).cast("long") for i in range(128)))
-    return F.aggregate("a", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.get(place, h.bitwiseAND(F.lit(127).cast("long")).cast("int"))))
+def _bits(upper: bool) -> Column:
+    """Parities of the words of a set in 64 places, or in the upper 64 of 128; the lower ones of these are the difference of both."""
+    places = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
+    place = F.array(*[F.lit(0).cast("long")] * 64, *places) if upper else F.array(*places)
+    last = F.lit(len(places) * (1 + upper) - 1).cast("long")
+    return F.aggregate("a", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.get(place, h.bitwiseAND(last).cast("int"))))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     """Lines: d, ln, digest c of the set, n, bitmaps b0 and b1 (which are digests, too), prefix from rare to common."""
-    placed = lambda h: h.bitwiseXOR(F.shiftleft(F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")).cast("long"), KEPT))
+    rarity = lambda h: F.shiftleft(F.get("r", F.shiftrightunsigned(h, 64 - BITS).cast("int")).cast("long"), KEPT)
+    # No element is ever null, but only what says so to Spark is sorted as plain numbers.
+    placed = lambda h: F.coalesce(h.bitwiseXOR(rarity(h)), h)
     # The array r stands in one place only, so that it becomes a constant there and never a part of rows.
     lines = _lines(docs).withColumn("r", _rarities(docs)).select("d", "ln", F.sort_array(F.transform(_hashes(F.col("line")), placed)).alias("a"))
     n = F.size("a")
-    prefix = F.when(n > 3, F.slice("a", 1, n - F.ceil(n * 4 / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
-    return lines.select("d", "ln", F.xxhash64("a").alias("c"), n.alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), prefix.alias("prefix"))
+    prefix = F.slice("a", 1, F.when(n > 3, n - F.ceil(n * 4 / 5).cast("int") + 2).otherwise(0))
+    upper = F.when(n > LONG, _bits(True)).otherwise(F.lit(0).cast("long"))
+    return lines.select("d", "ln", F.xxhash64("a").alias("c"), n.alias("n"), _bits(False).alias("b0"), upper.alias("b1"), prefix.alias("prefix"))
 
 
 def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,8 +150,10 @@ def _similar(shared: int) -> Column:
 
 
 def _far() -> Column:
-    """Places in which the bitmaps of x and y differ."""
-    return F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
+    """Places in which the bitmaps of x and y differ: of 128, if both have these, or else of 64."""
+    folded, upper = (F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}")) for b in ("b0", "b1"))
+    whole = F.bit_count(upper) + F.bit_count(folded.bitwiseXOR(upper))
+    return F.when((F.col("x.n") > LONG) & (F.col("y.n") > LONG), whole).otherwise(F.bit_count(folded))
 
 
 _ROW = ["d", "ln", "n", "p", "b0", "b1"]
@@ -143,10 +172,13 @@ def _met(rows: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
     # One long as the key, so that rows are sorted by radix; rows of salted groups have negative places.
     words = words.select(F.when(parts > 1, salted).otherwise(F.col("w")).alias("k"), "d", "ln", "n", F.when(parts > 1, -p).otherwise(p).alias("p"), "b0", "b1").filter("k is not null")
     group = Window.partitionBy("k")
-    dealt = words.repartition(partitions(rows), "k").withColumns({"g": F.count("*").over(group), "f": F.min("d").over(group)})
-    dealt = dealt.withColumn("large", (F.col("g") > GROUP) | (F.col("p") < 0)).filter((F.col("g") > 1) | F.col("large")).withColumn("p", F.abs("p"))
+    dealt = words.repartition(partitions(rows), "k")
+    # Only one side needs to know its group.
+    other = dealt.withColumns({"g": F.count("*").over(group), "f": F.min("d").over(group)})
+    other = other.withColumn("large", (F.col("g") > GROUP) | (F.col("p") < 0)).filter((F.col("g") > 1) | F.col("large")).withColumn("p", F.abs("p"))
     index = F.col("n") - F.ceil(F.col("n") * 8 / 9).cast("int") + 1
-    other = dealt.filter(F.when(F.col("large"), F.col("d") == F.col("f")).otherwise(F.col("p") <= index))
+    other = other.filter(F.when(F.col("large"), F.col("d") == F.col("f")).otherwise(F.col("p") <= index))
+    dealt = dealt.withColumn("p", F.abs("p"))
     large, longer = F.col("y.large"), (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & _after()
     elsewhere = (F.col("x.d") != F.col("y.d")) | (F.col("x.ln") != F.col("y.ln"))
     met = dealt.alias("x").join(other.alias("y"), (F.col("x.k") == F.col("y.k")) & (large | longer & elsewhere & _similar(1)))
@@ -165,7 +197,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """d, ln of lines with a verified pair: the nearest partner of each line first, then all of the lines it doesn't settle."""
-    named = tables.settle(pairs.select("d", "ln").union(pairs.select("e", "em")).distinct())
+    named = tables.settle(pairs.select(F.inline(F.array(F.struct("d", "ln"), F.struct(F.col("e").alias("d"), F.col("em").alias("ln"))))).distinct())
     sets = tables.settle(_of(_lines(docs), named).select("d", "ln", _hashes(F.col("line")).alias("h")))
     nearest = tables.settle(pairs.groupBy("d", "ln").agg(F.min(F.struct("far", "e", "em")).alias("s")).select("d", "ln", "s.e", "s.em"))
     first = tables.settle(_verified(nearest, sets))
@@ -176,9 +208,9 @@ def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def _refined(large: DataFrame, every: DataFrame) -> DataFrame:
-    """Rows of large groups for each two of their words: w, v, and what _ROW names, with v's place."""
-    prefixes = _of(every.select("d", "ln", "prefix"), large.select("d", "ln").distinct()).distinct()
+def _refined(large: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of large groups, whose lines are ``ids``, for each two of their words: w, v, and what _ROW names, with v's place."""
+    prefixes = _of(every.select("d", "ln", "prefix"), ids).distinct()
     both = large.join(prefixes, ["d", "ln"]).select(F.get("prefix", F.col("p") - 1).alias("w"), "d", "ln", "n", "b0", "b1", F.col("p").alias("own"), F.posexplode("prefix").alias("p", "v"))
     return both.filter(F.col("w").isNotNull() & (F.col("p") >= F.col("own"))).withColumn("p", F.col("p") + 1).select("w", "v", *_ROW)
 
@@ -193,10 +225,10 @@ def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables.drop(held)
     turns = TURNS if rows.count() > MANY else 1
     found = functools.reduce(DataFrame.union, [tables.settle(_met(rows, turn, turns)) for turn in range(turns)])
-    pairs, large = found.filter("e is not null").select("d", "ln", "e", "em", "far"), found.filter("large").select(*_ROW).distinct()
+    pairs, large = found.filter("e is not null").select("d", "ln", "e", "em", "far"), tables.settle(found.filter("large").select(*_ROW).distinct())
     gone = _matched(tables, docs, pairs)
     if not large.isEmpty():
-        refined = tables.settle(_refined(large, rows))
+        refined = tables.settle(_refined(large, rows, tables.settle(large.select("d", "ln").distinct())))
         rest = refined.join(gone, ["d", "ln"], "left_anti")
         same = (F.col("x.w") == F.col("y.w")) & (F.col("x.v") == F.col("y.v"))
         more = rest.alias("x").join(refined.alias("y"), same & _after() & _similar(2)).select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far"))
