@@ -33,13 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
-from .common import FILTERED, LOWEST, constant, id_filter, lowest_id, materialise, may_hold, partitions, zeros
+from .common import FILTERED, LOWEST, constant, id_filter, lowest_id, may_hold, partitions, zeros
 
 SEPARATOR = r"[ \t\x0B\f\r]+"
 #: Buckets of words, as a power of two.
 BITS = 20
-#: Buckets that are counted in one row, as a power of two.
-SPREAD = 4
 #: Rows of a word's group in which all meet.
 GROUP = 256
 #: Rows of one word that are dealt together, at most (by the bucket's count).
@@ -70,22 +68,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """k, c: words in each of 2 ** BITS buckets of hashes, of whole texts at once; a bucket may have several rows or none.
-
-    A row of a task's table holds 2 ** SPREAD buckets, two to a sum, so that the table stays small; they are parted before
-    tasks meet, so a sum never holds more than one task's words.
-    """
-    text, low = F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1 << SPREAD
-    words = docs.select(F.explode(_words(text)).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("k"))
-    place = F.col("k").bitwiseAND(F.lit(low - 1).cast("long")).cast("int")
-    one = F.when(place.bitwiseAND(1) == 0, F.lit(1).cast("long")).otherwise(F.lit(1 << 32))
-    pairs = [F.sum(F.when(F.shiftright(place, 1) == i, one).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(low // 2)]
-    key = F.shiftright("k", SPREAD).bitwiseOR(F.shiftleft(F.spark_partition_id().cast("long"), BITS))
-    rows = words.groupBy(key.alias("h")).agg(*pairs).withColumn("h", F.col("h").bitwiseAND(F.lit((1 << BITS) - 1).cast("long")))
-    parts = [part.alias(f"c{2 * i + j}") for i in range(low // 2) for j, part in enumerate((F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"s{i}", 32)))]
-    # A table, as the number of a task would keep what follows from becoming a constant.
-    sums = materialise(rows.select("h", *parts).groupBy("h").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(low)]))
-    return sums.select("h", F.posexplode(F.array(*[f"c{i}" for i in range(low)])).alias("i", "c")).select((F.col("h") * low + F.col("i")).alias("k"), "c")
+    """k and a 1 for every word, with its bucket; whole texts are cut at once, as lines don't matter here."""
+    words = docs.select(F.explode(_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    return words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).alias("k"), F.lit(1).cast("long").alias("c"))
 
 
 def _rarities(docs: DataFrame) -> Column:
@@ -152,8 +137,8 @@ def _similar(shared: int) -> Column:
 def _far() -> Column:
     """Places in which the bitmaps of x and y differ: of 128, if both have these, or else of 64."""
     folded, upper = (F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}")) for b in ("b0", "b1"))
-    whole = F.bit_count(upper) + F.bit_count(folded.bitwiseXOR(upper))
-    return F.when((F.col("x.n") > LONG) & (F.col("y.n") > LONG), whole).otherwise(F.bit_count(folded))
+    known = F.when(F.least("x.n", "y.n") > LONG, upper).otherwise(F.lit(0).cast("long"))
+    return F.bit_count(known) + F.bit_count(folded.bitwiseXOR(known))
 
 
 _ROW = ["d", "ln", "n", "p", "b0", "b1"]
