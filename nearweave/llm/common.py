@@ -54,7 +54,7 @@ def zeros(docs: DataFrame, bits: int) -> DataFrame:
     return docs.sparkSession.range(1 << bits).select(F.col("id").alias("k"), F.lit(0).cast("long"))
 
 
-def _bit(columns: tuple[str, ...]) -> Column:
+def _bit(columns: tuple[str | Column, ...]) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(64 << FILTER))
 
 
@@ -65,7 +65,7 @@ def id_filter(ids: DataFrame, *columns: str) -> Column:
     return constant(words.groupBy("k").agg(F.bit_or("x").alias("x")), F.col("x"), FILTER)
 
 
-def may_hold(bits: Column, *columns: str) -> Column:
+def may_hold(bits: Column, *columns: str | Column) -> Column:
     return F.bit_get(F.element_at(bits, F.shiftright(_bit(columns), 6).cast("int") + 1), _bit(columns).bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 

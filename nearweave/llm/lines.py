@@ -13,8 +13,10 @@ number) has a Jaccard similarity of at least 4/5 with it, whether or not that on
 4. In a word's group of up to GROUP rows every row meets the shorter ones, behind the length filter, the positional filter
    and a bitmap filter: the parities of a set's word hashes in 64 places (128 for long sets) differ in no more places than the
    sets do.
-5. Rows of larger or salted groups meet the group's first row. Those without an earlier match so far are dealt again by two
-   words, the group's and a later one of the prefix, which is longer by one word for that; similar sets share both.
+5. Rows of larger or salted groups meet the group's first row. Then all lines with words of such groups are dealt again by two
+   words, the group's and a later one of the prefix, which is longer by one word for that; similar sets share both. Those
+   without an earlier match so far meet the earlier ones. These rows grow with the number of large groups, up to the square
+   of a prefix for each line, so they are never held at once: as many turns as they ask for deal a fixed number a line each.
 6. Pairs that pass are verified on the full sets, which are built anew for lines in pairs only; first the nearest partner
    of each line by its bitmap, then all others of the lines that had no match.
 
@@ -38,12 +40,14 @@ from .common import FILTERED, LOWEST, constant, id_filter, lowest_id, may_hold,
 SEPARATOR = r"[ \t\x0B\f\r]+"
 #: Buckets of words, as a power of two.
 BITS = 20
-#: Rows of a word's group in which all meet.
-GROUP = 256
+#: Rows of a word's group in which all meet; more cost about as much as dealing a row again by two words.
+GROUP = 2048
 #: Rows of one word that are dealt together, at most (by the bucket's count).
 FREQUENT = 1_000_000
 #: Lines of a corpus whose words are dealt in several turns, one after the other: disk holds the shuffled rows of one only.
 MANY, TURNS = 1_000_000, 4
+#: Rows that one turn deals by two words, for each line of the corpus.
+PAIRED = 2
 #: Sets of more words have a bitmap of 128 places, others one of 64.
 LONG = 64
 #: A word is its rarity (a third of a power of two) on top of these bits of its hash.
@@ -81,10 +85,15 @@ def _rarities(docs: DataFrame) -> Column:
     return constant(every, F.when(turn > 127, turn - 256).otherwise(turn).cast("byte"), BITS)
 
 
+def _salted() -> int:
+    """Rarity from which words may be salted."""
+    return 3 * (FREQUENT.bit_length() - 1)
+
+
 def _parts(word: Column) -> Column:
     """Salted parts of a word's rows."""
     rarity = F.shiftright(word, KEPT)
-    return F.when(rarity >= 3 * (FREQUENT.bit_length() - 1), F.ceil(F.pow(F.lit(2.0), (rarity + 1) / 3) / FREQUENT).cast("int")).otherwise(1)
+    return F.when(rarity >= _salted(), F.ceil(F.pow(F.lit(2.0), (rarity + 1) / 3) / FREQUENT).cast("int")).otherwise(1)
 
 
 def _bits(upper: bool) -> Column:
@@ -141,11 +150,8 @@ def _far() -> Column:
     return F.bit_count(known) + F.bit_count(folded.bitwiseXOR(known))
 
 
-_ROW = ["d", "ln", "n", "p", "b0", "b1"]
-
-
 def _met(rows: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
-    """Of the words that one of several turns deals: pairs of a line (d, ln) and an earlier one (e, em) with far; and rows of large groups (_ROW, with e where the first fits).
+    """Of the words that one of several turns deals: pairs of a line (d, ln) and an earlier one (e, em) with far; and in rows of their own the words w of large groups.
 
     In a small group the longer line meets the shorter ones that have the word among their rarest m - ceil(8m/9) + 1, as two
     sets with that similarity share 8/9 of the shorter one. In a large group every row meets the first document's.
@@ -160,17 +166,45 @@ def _met(rows: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
     dealt = words.repartition(partitions(rows), "k")
     # Only one side needs to know its group.
     other = dealt.withColumns({"g": F.count("*").over(group), "f": F.min("d").over(group)})
-    other = other.withColumn("large", (F.col("g") > GROUP) | (F.col("p") < 0)).filter((F.col("g") > 1) | F.col("large")).withColumn("p", F.abs("p"))
+    other = other.withColumn("large", (F.col("g") > GROUP) | (F.col("p") < 0)).filter((F.col("g") > 1) | F.col("large"))
+    other = other.withColumn("w", F.when(F.col("large") & (F.col("p") > 0), F.col("k"))).withColumn("p", F.abs("p"))
     index = F.col("n") - F.ceil(F.col("n") * 8 / 9).cast("int") + 1
     other = other.filter(F.when(F.col("large"), F.col("d") == F.col("f")).otherwise(F.col("p") <= index))
     dealt = dealt.withColumn("p", F.abs("p"))
     large, longer = F.col("y.large"), (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & _after()
-    elsewhere = (F.col("x.d") != F.col("y.d")) | (F.col("x.ln") != F.col("y.ln"))
-    met = dealt.alias("x").join(other.alias("y"), (F.col("x.k") == F.col("y.k")) & (large | longer & elsewhere & _similar(1)))
+    same = (F.col("x.d") == F.col("y.d")) & (F.col("x.ln") == F.col("y.ln"))
+    told, fits = same & F.col("y.w").isNotNull(), F.when(large, _after()).otherwise(longer & ~same) & _similar(1)
+    met = dealt.alias("x").join(other.alias("y"), (F.col("x.k") == F.col("y.k")) & (told | fits))
     places = lambda x, y: F.struct(f"{x}.d", f"{x}.ln", F.col(f"{y}.d").alias("e"), F.col(f"{y}.ln").alias("em"))
-    later, fits = F.when(_after() | large, places("x", "y")).otherwise(places("y", "x")), ~large | _after() & _similar(1)
-    met = met.select(later.alias("o"), fits.alias("fits"), _far().alias("far"), large.alias("large"), *(F.when(large, F.col(f"x.{c}")).alias(c) for c in ("n", "p", "b0", "b1")))
-    return met.select("o.d", "o.ln", F.when(F.col("fits"), F.col("o.e")).alias("e"), F.when(F.col("fits"), F.col("o.em")).alias("em"), "far", "large", "n", "p", "b0", "b1")
+    later = F.when(_after(), places("x", "y")).otherwise(places("y", "x"))
+    return met.select(F.when(~told, later).alias("o"), _far().alias("far"), F.when(told, F.col("y.w")).alias("w")).select("o.*", "far", "w")
+
+
+def _marked(rows: DataFrame, words: DataFrame, gone: DataFrame) -> DataFrame:
+    """Lines with words of large groups in the prefix: what rows hold, the places of these words, and whether the line is open, that is not gone."""
+    hit = id_filter(gone, "d", "ln")
+    # Words taken for large ones by mistake (by all lines alike) are only dealt in more rows; those of salted groups always are.
+    large = lambda w: (w >= F.lit(1 << KEPT)) & ((w >= F.lit(_salted() << KEPT)) | may_hold(F.col("r"), w))
+    at = F.filter(F.transform("prefix", lambda w, i: F.when((i < F.size("prefix") - 1) & large(w), i)), lambda i: i.isNotNull())
+    # As in _sets, r becomes a constant; no filter on the places may be pushed below them, where it would stand twice.
+    lines = rows.withColumn("r", id_filter(words, "w")).select(*rows.columns, at.alias("at"))
+    lines = lines.select(*rows.columns, F.explode(F.filter(F.array("at"), lambda x: F.size(x) > 0)).alias("at"))
+    # Only lines that pass a filter of fixed size are joined.
+    known = lines.filter(may_hold(hit, "d", "ln")).join(gone.withColumn("gone", F.lit(True)), ["d", "ln"], "left")
+    return lines.filter(~may_hold(hit, "d", "ln")).withColumn("open", F.lit(True)).unionByName(known.withColumn("open", F.col("gone").isNull()).drop("gone"))
+
+
+def _met_by_two(marked: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Pairs of an open line (d, ln) and an earlier one (e, em) with far, dealt by each large word and a later one of the prefix, of one of several turns."""
+    words = marked.select("d", "ln", "n", "b0", "b1", "open", "prefix", F.explode("at").alias("i"))
+    words = words.select("d", "ln", "n", "b0", "b1", "open", "i", F.get("prefix", "i").alias("w"), F.posexplode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("j", "v"))
+    words, p = words.filter(F.pmod(F.shiftright("w", 1) + F.shiftright("v", 1), F.lit(turns)) == turn), F.col("i") + F.col("j") + 2
+    # Both sides of the join read one shuffle: lines that aren't open have negative places, and the test for it names both sides.
+    words = words.select(F.xxhash64("w", "v").alias("k"), "d", "ln", "n", F.when(F.col("open"), p).otherwise(-p).alias("p"), "b0", "b1").filter("k is not null")
+    dealt = words.repartition(partitions(marked), "k")
+    other = dealt.withColumn("g", F.count("*").over(Window.partitionBy("k"))).filter("g > 1").withColumn("p", F.abs("p"))
+    met = dealt.alias("x").join(other.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.least("x.p", "y.n") > 0) & _after() & _similar(2))
+    return met.select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,13 +227,6 @@ def _matched(tables: Tables, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def _refined(large: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of large groups, whose lines are ``ids``, for each two of their words: w, v, and what _ROW names, with v's place."""
-    prefixes = _of(every.select("d", "ln", "prefix"), ids).distinct()
-    both = large.join(prefixes, ["d", "ln"]).select(F.get("prefix", F.col("p") - 1).alias("w"), "d", "ln", "n", "b0", "b1", F.col("p").alias("own"), F.posexplode("prefix").alias("p", "v"))
-    return both.filter(F.col("w").isNotNull() & (F.col("p") >= F.col("own"))).withColumn("p", F.col("p") + 1).select("w", "v", *_ROW)
-
-
 def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """d, ln of all lines with words; d, ln of those that stay."""
     held = tables.settle(_sets(docs))
@@ -210,14 +237,15 @@ def _gone(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables.drop(held)
     turns = TURNS if rows.count() > MANY else 1
     found = functools.reduce(DataFrame.union, [tables.settle(_met(rows, turn, turns)) for turn in range(turns)])
-    pairs, large = found.filter("e is not null").select("d", "ln", "e", "em", "far"), tables.settle(found.filter("large").select(*_ROW).distinct())
-    gone = _matched(tables, docs, pairs)
-    if not large.isEmpty():
-        refined = tables.settle(_refined(large, rows, tables.settle(large.select("d", "ln").distinct())))
-        rest = refined.join(gone, ["d", "ln"], "left_anti")
-        same = (F.col("x.w") == F.col("y.w")) & (F.col("x.v") == F.col("y.v"))
-        more = rest.alias("x").join(refined.alias("y"), same & _after() & _similar(2)).select("x.d", "x.ln", F.col("y.d").alias("e"), F.col("y.ln").alias("em"), _far().alias("far"))
-        more = tables.settle(more.distinct())
+    gone = _matched(tables, docs, found.filter("e is not null").select("d", "ln", "e", "em", "far"))
+    marked = tables.settle(_marked(rows, tables.settle(found.filter("w is not null").select("w").distinct()), gone))
+    later = F.aggregate("at", F.lit(0).cast("long"), lambda s, i: s + F.size("prefix") - 1 - i)
+    dealt, lines = marked.agg(F.coalesce(F.sum(later), F.lit(0)), F.lit(PAIRED) * F.greatest(F.lit(MANY), F.lit(rows.count()))).first()
+    tables.drop(rows)
+    if dealt:
+        turns = -(-dealt // lines)
+        more = functools.reduce(DataFrame.union, [tables.settle(_met_by_two(marked, turn, turns)) for turn in range(turns)])
+        tables.drop(marked)
         gone = gone if more.isEmpty() else gone.union(_matched(tables, docs, more))
     return every, firsts.join(gone, ["d", "ln"], "left_anti")
 

@@ -426,6 +426,30 @@ def test_line_dedup_of_many_similar_lines(spark, monkeypatch):
     assert {i: got[i].n_removed for i, _ in rows} == {i: len(x) for i, x in want.items()}
 
 
+def test_line_dedup_deals_two_words_in_turns_and_never_writes_dealt_rows(spark, monkeypatch):
+    """Where most words have large groups, no table holds more rows with bitmaps than there are lines, and a turn deals a fixed number a line."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"t{j}" if r.random() < 0.9 else f"v{r.randrange(9)}" for j in range(16))) for i in range(60)]
+    for name, value in (("GROUP", 4), ("MANY", 10), ("TURNS", 1), ("PAIRED", 4)):
+        monkeypatch.setattr(lines, name, value)
+    settle, met, sizes, turns = lines.Tables.settle, lines._met_by_two, [], []
+
+    def counted(self, df):
+        out = settle(self, df)
+        sizes.extend([out.count()] if "b0" in df.columns else [])
+        return out
+
+    def turn(marked, one, of):
+        turns.append((one, of))
+        return met(marked, one, of)
+
+    monkeypatch.setattr(lines.Tables, "settle", counted)
+    monkeypatch.setattr(lines, "_met_by_two", turn)
+    got, want = by_id(lines.removal_digests(brute.documents(spark, rows))), brute.line_removals(rows)
+    assert {i: got[i].n_removed for i, _ in rows} == {i: len(x) for i, x in want.items()}
+    assert max(sizes) <= len(rows) and len(turns) > 1 and turns == [(i, len(turns)) for i in range(len(turns))]
+
+
 def test_line_dedup_counts_the_words_of_whole_texts(docs):
     """Counts are those of the words of all lines, one by one; the empty string beside separators doesn't matter."""
     bucket = lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - lines.BITS).alias("k")
