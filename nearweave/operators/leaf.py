@@ -6,6 +6,8 @@ ones by local neighbour descent from a small forest of random partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -175,13 +177,16 @@ def edge_batch(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
+def leaf_solver(k: int, m: Metric, cutoff: int, seed: int) -> Callable[[str, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """u, v, d of a block from its path, ids and vectors."""
+    return lambda path, ids, x: solve_block(ids, x, k, m, cutoff, int.from_bytes(path.encode()[-6:], "little") + seed)
+
+
 def leaf_knn(blocks: DataFrame, k: int, metric_name: str | Metric = "l2", cutoff: int = CUTOFF, seed: int = 0) -> DataFrame:
     """u, v, d of every block (columns path, id, vec): one task solves one block."""
-    m = metric(metric_name)
+    solver = leaf_solver(k, metric(metric_name), cutoff, seed)
 
     def solve(block: pa.Table) -> pa.Table:
-        path = str(block.column("path")[0].as_py())
-        own = int.from_bytes(path.encode()[-6:], "little") + seed
-        return edge_batch(*solve_block(np.asarray(block.column("id")), matrix(block.column("vec"), block.num_rows), k, m, cutoff, own))
+        return edge_batch(*solver(str(block.column("path")[0].as_py()), np.asarray(block.column("id")), matrix(block.column("vec"), block.num_rows)))
 
     return blocks.select("path", "id", "vec").groupBy("path").applyInArrow(solve, "u long, v long, d double")

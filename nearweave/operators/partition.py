@@ -6,22 +6,24 @@ through the tree so far, and what is shuffled are block sizes and the few member
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, metric
 from ..functions.rand import PRIME, derive, hash_one
-from .leaf import matrix
+from .leaf import edge_batch, matrix
 
 ROOT = "0"
 #: Bytes of centroids that are sent to every executor, at most.
 TREE_BYTES = 512 << 20
 #: Ids of sampled members, or paths of blocks, that are sent to every executor, at most.
 SENT_IDS = 1_000_000
+#: Vectors of a block whose part of a tree is grown, and whose leaves are solved, in one task, and their bytes in doubles, at most.
+WHOLE, WHOLE_BYTES = 131_072, 64 << 20
 
 
 def block_stats(blocks: DataFrame, rho: int, seed: int) -> DataFrame:
@@ -179,6 +181,61 @@ def forest_routed(vectors: DataFrame, trees: list[Tree]) -> DataFrame:
     return vectors.select("id", "vec").mapInArrow(run, "path string, id long, vec array<float>")
 
 
+def _divided(ids: np.ndarray, x: np.ndarray, path: str, above: int, grown: Tree, alpha: int, max_depth: int = 64) -> Iterator[tuple[str, np.ndarray]]:
+    """Paths and rows of the leaves that grow_level would split one block into, level by level; above: its parent's size."""
+    todo = [(path, np.arange(len(ids)), above)]
+    while todo:
+        path, rows, above = todo.pop()
+        level = path.count("/")
+        if len(rows) <= alpha or level >= max_depth:
+            yield path, rows
+            continue
+        h = _np_hash(ids[rows], derive(grown.seed, level))
+        chosen = rows[np.lexsort((ids[rows], h))[: grown.rho]]
+        c = x[chosen]
+        if len(rows) == above or (c == c[0]).all():
+            branch = _np_hash(ids[rows], derive(grown.seed, 77, level)) % grown.rho
+        else:
+            own = x[rows]
+            branch = np.stack([grown.m.rows(own, y[None, :]) for y in c], 1).argmin(1)
+        todo += [(f"{path}/{i}", rows[branch == i], len(rows)) for i in np.unique(branch)]
+
+
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that dealing by them to n partitions puts in one each."""
+    first = spark.range(100 + 20 * n * n.bit_length()).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("x"))
+    return [r.x for r in first.orderBy("p").collect()]
+
+
+def grown_leaves(vectors: DataFrame, alpha: int, rho: int, seeds: list[int], solve: Callable[[str, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], metric_name: str | Metric = "l2", n: int | None = None) -> DataFrame:
+    """u, v, d of the leaves of a tree for each seed, as partition_forest and a solver for each leaf give them.
+
+    Trees grow level by level only down to blocks of WHOLE vectors; the task that gets such a block grows what is below it
+    and solves its leaves. n: how many vectors there are, if that is known.
+    """
+    width = vectors.select(F.size("vec").alias("w")).first()
+    whole = max(alpha, min(WHOLE, WHOLE_BYTES // (8 * max(1, width.w if width else 1))))
+    single = n is not None and n <= whole
+    trees = [Tree(metric(metric_name), rho, seed) for seed in seeds] if single else partition_forest(vectors, whole, rho, seeds, metric_name)
+    held = vectors.sparkSession.sparkContext.broadcast(trees)
+
+    def run(block: pa.Table) -> pa.Table:
+        seed, path = block.column("path")[0].as_py().split(":")
+        tree = next(t for t in held.value if t.seed == int(seed))
+        ids, x = np.asarray(block.column("id")), matrix(block.column("vec"), block.num_rows)
+        above = tree.sizes.get(path.rsplit("/", 1)[0], -1) if path != ROOT else -1
+        name = lambda own: own if len(seeds) == 1 else f"{seed}:{own}"
+        parts = [solve(name(own), ids[rows], x[rows]) for own, rows in _divided(ids, x, path, above, tree, alpha)]
+        return edge_batch(*(np.concatenate(z) for z in zip(*parts)))
+
+    blocks, keys = forest_routed(vectors, trees), ["path"]
+    if single:  # few blocks, so each goes to a task of its own
+        slots = apart(vectors.sparkSession, len(seeds))
+        which = F.array_position(F.array(*[F.lit(f"{seed}:{ROOT}") for seed in seeds]), F.col("path")).cast("int")
+        blocks, keys = blocks.withColumn("slot", F.element_at(F.array(*[F.lit(x) for x in slots]), which)).repartition(len(seeds), "slot"), ["slot", "path"]
+    return blocks.groupBy(*keys).applyInArrow(run, "u long, v long, d double")
+
+
 def assign_nearest(vectors: DataFrame, centroids: DataFrame, metric_name: str | Metric = "l2") -> DataFrame:
     """id, idx, d: each vector's nearest centroid of its own block (columns path, id, vec and path, idx, vec).
 

@@ -20,6 +20,7 @@ from nearweave.operators.leaf import brute_force, local_descent, solve_block
 from nearweave.operators.metrics import degree_stats, invariants, recall
 from nearweave.operators.partition import recursive_partition, routed
 from nearweave.operators.topk import merge_top_k
+from nearweave.plans.history import History
 from nearweave.plans.descent import descent_knn
 from nearweave.plans.engine import KnnGraph
 from nearweave.plans.forest import forest_knn
@@ -361,3 +362,18 @@ def test_driver_lets_go_once_its_heap_is_half_full():
         Runtime.totalMemory = staticmethod(lambda: size)
         tables._released(Spark)
     assert len(calls) == 1
+
+
+def test_trees_below_a_block_grow_in_one_task_as_level_by_level(spark, monkeypatch):
+    """The same leaves and lists whether a tree is grown by jobs, in one task, or in both ways; and no job for each level."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=4).round(1)]) for i in range(150)] + [(150 + i, [1.0] * 4) for i in range(30)]
+    v = spark.createDataFrame(rows, "id long, vec array<float>")
+    build = lambda **o: sorted(map(tuple, forest_knn(v, 3, alpha=12, rho=3, tau=0, max_epochs=2, trees=3, **o).collect()))
+    want = build(history=History())
+    levels, grow = [], partition.grow_level
+    monkeypatch.setattr(partition, "grow_level", lambda *a: levels.append(1) or grow(*a))
+    assert build() == want and not levels
+    monkeypatch.setattr(partition, "WHOLE", 40)
+    assert build() == want and levels
+    assert sorted(spark.createDataFrame([(x,) for x in partition.apart(spark, 6)], "x long").repartition(6, "x").rdd.glom().map(len).collect()) == [1] * 6
